@@ -110,15 +110,16 @@ def dedup(
     digest: Column | None = None,
     memtable: int = 200_000,
     filter_bits: int = 23,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, text_bytes; one row for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_bytes and the columns `carry`; one row for each row of docs.
 
     digest: another digest of the column `text` than SHA-256, as binary (tests force collisions with it)."""
     largest = keep == "largest"
     kind = docs.schema["doc_id"].dataType
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     sha = F.sha2("text", 256)
-    rows = raw.select("doc_id", "text", (F.unhex(sha) if digest is None else digest).alias("digest"))
+    rows = raw.select("doc_id", "text", *carry, (F.unhex(sha) if digest is None else digest).alias("digest"))
 
     runs = flush_runs(rows.select("digest", "doc_id"), memtable, largest)
     level = materialise(compact(runs, largest), "lsm-level")
@@ -131,12 +132,12 @@ def dedup(
         .join(F.broadcast(seen), "block", "left")
         .withColumn("hit", F.coalesce(word.bitwiseAND(F.expr("shiftleft(1, int(pos % 8))")) != 0, F.lit(False)))
     )
-    alone = tested.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"))
+    alone = tested.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"), *carry)
 
     # The keeper's text is fetched by (digest, id), which no hot group shares; then one join on the digest, whose
     # large side Spark can split. False positives of the filter find no keeper and need no comparison.
-    hits = tested.where("hit").select("doc_id", "text", "digest")
-    stays = hits.withColumn("best", F.coalesce("doc_id", F.lit(_NONE))).join(level.where("n > 1"), ["digest", "best"])
+    hits = tested.where("hit").select("doc_id", "text", "digest", *carry)
+    stays = hits.select("doc_id", "text", "digest").withColumn("best", F.coalesce("doc_id", F.lit(_NONE))).join(level.where("n > 1"), ["digest", "best"])
     stays = stays.select("digest", "best", "n_best", "n", F.col("text").alias("other"))
     repeated = not level.where("n > 1 and n_best > 1").isEmpty()
     if repeated:  # repeated rows: one of them is enough to compare with
@@ -145,10 +146,10 @@ def dedup(
     checked = hits.join(stays, "digest", "left").select(
         "doc_id", "digest", best.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"),
         (F.col("n").isNull() | F.coalesce(F.col("text") == F.col("other"), F.lit(False))).alias("same"),
-        sha.alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"),
+        sha.alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"), *carry,
     )
     checked = materialise(checked, "lsm-hits")
-    cols = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "text_sha256", "text_bytes"]
+    cols = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "text_sha256", "text_bytes", *carry]
     bad = checked.where("not same").select("digest").distinct()
     exact = None
     good = checked

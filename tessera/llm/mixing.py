@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-Each source is one stream of words: its documents in hashed order, cut into equal blocks of words, about
-2**20 in all whatever the input (so tables of blocks are bounded). The sources' targets (a capped share of the whole) get blocks by highest Sainte-Lague quotients v / (2 s + 1);
+Each source is one stream of words: its documents in hashed order, cut into equal blocks of 32 words
+or more, of which there are at most about 2**20 whatever the input (so tables of blocks are bounded). The sources' targets (a capped share of the whole) get blocks by highest Sainte-Lague quotients v / (2 s + 1);
 each source's blocks then go to its shards (runs of `run` blocks) by the same rule, which gives an integer
 quota per shard, and a seeded order within the shard selects the blocks. No block is taken more than
 `most` times, so no document exceeds `most` times its size. A document's taken words are those of its blocks.
@@ -96,14 +96,16 @@ def place(docs: DataFrame, seed: int, rows_a_bucket: int = 2000) -> tuple[DataFr
 
 
 def mix_rows(
-    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42, resolution: int = 1 << 20, run: int = 1024
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42, resolution: int = 1 << 20, least: int = 32, run: int = 1024
 ) -> DataFrame:
     """uid, doc_id, source, size, source_size, target, passes (times the whole row is taken), spans (its further
-    words, array<struct<first, n>>) and taken. resolution: blocks in all, about; run: blocks in a shard."""
+    words, array<struct<first, n>>) and taken. A block has at least `least` words (fewer only where all sources
+    together have few) and there are at most about `resolution` of them; run: blocks in a shard."""
     rows, sizes = place(docs, seed)
     goal = materialise(targets(sizes, weights, share, most), "mix-targets")
     total = goal.agg(F.sum("source_size"), F.sum("target")).first()
-    block = max(1, -(-(total[0] or 0) // resolution))
+    words = total[0] or 0
+    block = max(1, min(least, -(-words // 4096)), -(-words // resolution))
     seats = round((total[1] or 0) / block)
 
     blocks = F.ceil(F.col("source_size") / block).cast("long")

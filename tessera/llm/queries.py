@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from tessera.llm.additive_ann import op2_additive_ann
 from tessera.llm.exact_dedup import op6_exact_dedup
+from tessera.llm.language_id import op5_language_id
+from tessera.llm.license_scan import op4_license_scan
 from tessera.llm.mixing import op9_sainte_lague_mixing
 from tessera.llm.packing import op7_kk_packing
 from tessera.llm.secret_scan import op1_secret_scan
 from tessera.llm.simhash_dedup import op3_simhash_bktree
+from tessera.llm.substring_dedup import op8_cdc_substrings
+from tessera.llm.toxicity import op10_toxicity_knn
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_simhash_bktree, op6_exact_dedup, op7_kk_packing, op9_sainte_lague_mixing)
+    for f in (
+        op1_secret_scan,
+        op2_additive_ann,
+        op3_simhash_bktree,
+        op4_license_scan,
+        op5_language_id,
+        op6_exact_dedup,
+        op7_kk_packing,
+        op8_cdc_substrings,
+        op9_sainte_lague_mixing,
+        op10_toxicity_knn,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import components, materialise, partitions, slices
 
@@ -48,17 +49,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carry` and fp (the fingerprint as a signed long)."""
+    out = docs.select("doc_id", *carry)
+    schema = StructType([*out.schema.fields, StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in slices(batches, "text"):
-            fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(batch.num_columns - 1)], np.uint64)
+            cols = [*batch.columns[:-1], pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.select("doc_id", *carry, "text").mapInArrow(run, schema)
 
 
 def _popcount(x):
@@ -205,15 +209,21 @@ def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
     return met.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) and linked (fingerprints linked to others)."""
-    fps = materialise(fingerprints(docs, width), "simhash-fp")
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carry`, fp, component (one of its fingerprints), component_id (smallest doc_id
+    reachable) and linked (whether the fingerprint has links); one row for each row of docs."""
+    fps = materialise(fingerprints(docs, width, carry), "simhash-fp")
     least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
     comp = components(links(least.select("fp"), radius, shard), "simhash")
     roots = comp.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = comp.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    of = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.col("component_id").isNotNull().alias("linked"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "linked")
+    of = comp.join(roots, "root").select(F.col("node").alias("fp"), F.col("root").alias("component"), "component_id")
+    of = least.join(of, "fp", "left").select(
+        "fp",
+        F.coalesce("component", "fp").alias("component"),
+        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("component").isNotNull().alias("linked"),
+    )
+    return fps.join(of, "fp").select("doc_id", *carry, "fp", "component", "component_id", "linked")
 
 
 def op3_simhash_bktree(spark, sf_dir: str) -> DataFrame:
