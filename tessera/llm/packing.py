@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,16 @@ _tokenizers: dict[str, WordTokens] = {}
 
 
 class WordTokens:
-    """Token ids of texts; distinct words between ASCII white space are tokenized once.
+    """Token ids of texts, by a tokenizers file that drops white space and never looks across it.
 
-    This tokenizer drops white space and never looks across it, so a text's ids are those of its words."""
+    Texts are cut at ASCII white space and before closing punctuation - both are ends of the tokenizer's own
+    words - and each distinct piece is tokenized once. New pieces of letters only are tokenized in one
+    line, told apart by the ids that end words. Where a text could be read differently in pieces (combining
+    marks, special tokens), its batch is cut at white space only."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    CLOSING = "!#$%&()*+,-./:;=?@[\\]^`{|}~"
+
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         import numpy as np
@@ -42,41 +49,85 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.most = Tokenizer.from_file(path), most
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.code: dict[str, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    @staticmethod
+    def _one_word(s: str) -> bool:
+        if s.isascii():
+            return s.isalpha()
+        return s.isalpha() and is_normalized("NFC", s) and s.lower().isalpha()
+
+    def _add(self, new: list[str], ids, size) -> None:
         import numpy as np
 
-        if len(self.code) > self.most:
-            self.code, self.pool, self.start, self.size = {}, self.pool[:0], self.start[:0], self.size[:0]
-        new = [w for w in words if w not in self.code]
-        if not new:
-            return
-        ids = [e.ids for e in self.model.encode_batch(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, flat])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _learn(self, pieces: list[str]) -> None:
+        import numpy as np
+
+        code = self.code
+        new = [w for w in pieces if w not in code]
+        if len(code) + len(new) > self.most:
+            self.code, self.pool, self.start, self.size = {}, self.pool[:0], self.start[:0], self.size[:0]
+            new = pieces
+        line = [w for w in new if self._one_word(w)]
+        if line:
+            ids = np.array(self.model.encode(" ".join(line), add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(line):
+                self._add(line, ids, np.diff(at, prepend=-1))
+                new = [w for w in new if w not in self.code]
+        if new:
+            each = [e.ids for e in self.model.encode_batch(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            self._add(new, np.array([i for x in each for i in x], np.uint32), size)
+
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """Each word as two pieces: up to its closing punctuation, and that."""
+        import numpy as np
+
+        words = pa.concat_arrays([words])
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+        start, end = offsets[:-1], offsets[1:]
+        cut = start + pc.binary_length(pc.ascii_rtrim(words, self.CLOSING)).to_numpy()
+        last, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
+        ascii_word = (last >= 97) & (last <= 122) | (last >= 65) & (last <= 90) | (last >= 48) & (last <= 57)
+        latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)  # the letters of Latin-1
+        cut = np.where((cut > start) & (ascii_word | latin), cut, end)
+        both = np.empty(2 * len(words) + 1, np.int32)
+        both[0:-1:2], both[1::2], both[-1] = start, cut, offsets[-1]
+        return pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(both), words.buffers()[2])
 
     def encode(self, texts: pa.Array):
         """(ids of all texts, offsets of the texts in them)."""
         import numpy as np
-        import pyarrow.compute as pc
-
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        offsets = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
-        own = np.fromiter((self.code[w] for w in words), np.int64, len(words))
-        at = own[coded.indices.to_numpy()] if len(words) else own
+
+        texts = texts.fill_null("").cast(pa.string())
+        odd = pc.or_(pc.match_substring_regex(texts, r"\p{M}"), pc.match_substring(texts, "<|"))
+        plain = not pc.any(odd).as_py()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        words = split.flatten()
+        if plain and len(words):
+            words, offsets = self._pieces(words), 2 * offsets
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self._learn(names)
+        code = self.code
+        own = np.fromiter((code[w] for w in names), np.int64, len(names))
+        at = own[coded.indices.to_numpy()] if len(names) else own
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         where = np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])
-        return self.pool[where], ends[offsets - offsets[0]]
+        return self.pool[where], ends[offsets]
 
 
 def tokens_of(path: str | None) -> WordTokens:
