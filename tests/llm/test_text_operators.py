@@ -221,6 +221,10 @@ def test_word_tokens_agree_on_odd_white_space():
 
     texts = ["a b  C\tcafé <|startoftext|>x   y", None, "  ", "İSTANBUL ΣΑΣ it's 3rd!?"]
     model = packing.tokens_of(None)
+    texts += ["J\u030c. e\u0301!", "<|ENDOFTEXT|> x", "Été. ÷. a×. o'clock, 'tis x-y--z... a1b2. (ok) …! “q”."]
+    for group in ([x] for x in texts):
+        ids, _ = model.encode(pa.array(group, pa.string()))
+        assert ids.tolist() == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(group[0] or "", add_special_tokens=False).ids
     ids, offsets = model.encode(pa.array(texts))
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for i, t in enumerate(texts):
