@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Training rows are those with a label outside the held-out fold. A bounded sample of them (`sample`
-documents, least hashes of their id) chooses the vocabulary - the `terms` words whose presence tells the
-labels apart best by chi-square - and serves as the examples, half of them toxic if there are as many. The
+documents, least hashes of their id) chooses the vocabulary - the `terms` words or word beginnings whose
+presence tells the labels apart best by chi-square, `least` or more - and serves as the examples, half of them toxic if there are as many. The
 idf of the vocabulary counts all documents. Scores are exact: the examples, ordered so that like vectors stand
 together, are cut into blocks; a query visits blocks by falling bound (its weights times the terms' block
 maxima) until the bound is below the k-th similarity found. Votes are weighted by similarity, and a
@@ -27,6 +27,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_fold, slices
 
 TERM = re.compile(r"[^\W\d_]+")
+STEMS = (4, 5)
+
+
+def terms_of(text: str | None) -> list[str]:
+    """Words in lower case, and the beginnings of the longer ones (marked *), which inflected words share."""
+    words = TERM.findall((text or "").lower())
+    return words + [w[:n] + "*" for n in STEMS for w in words if len(w) > n]
 
 
 class BlockMaxIndex:
@@ -102,7 +109,7 @@ class Neighbours:
 
     def bag(self, text: str | None) -> Counter:
         names = self.names
-        return Counter(w for w in TERM.findall((text or "").lower()) if w in names)
+        return Counter(w for w in terms_of(text) if w in names)
 
     def vector(self, bag: Counter) -> dict[int, float]:
         x = {self.names[w]: (1 + math.log(n)) * self.idf[self.names[w]] for w, n in bag.items() if w in self.names}
@@ -148,7 +155,7 @@ class Neighbours:
         return self.cache[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 200, k: int = 15) -> Neighbours | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, terms: int = 40, least: float = 30.0, k: int = 15) -> Neighbours | None:
     """Examples and vocabulary from a bounded sample of labelled rows outside the held-out fold."""
     ours = labels.where((crc_fold(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     h = F.xxhash64("doc_id")
@@ -162,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 2
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = [sorted(set(TERM.findall((t or "").lower()))) for t in batch.column(1).to_pylist()]
+            words = [sorted(set(terms_of(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
 
     # Bounded by `sample`, so broadcast. Null ids never join.
@@ -174,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 2
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = n1 - a, n0 - b
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * n1 * n0)
-    best = seen.where(chi > 6.6).orderBy(chi.desc(), "word").limit(terms).collect()  # 6.6: one in a hundred by chance
+    best = seen.where(chi > least).orderBy(chi.desc(), "word").limit(terms).collect()
     names = {r.word for r in best}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 2
         for batch in slices(batches, "text"):
             for t in batch.column(0).to_pylist():
                 total += 1
-                count.update(names.intersection(TERM.findall((t or "").lower())))
+                count.update(names.intersection(terms_of(t)))
         words = sorted(count)
         yield pa.RecordBatch.from_arrays([pa.array(["", *words]), pa.array([total, *[count[w] for w in words]], pa.int64())], ["word", "n"])
 
@@ -193,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 2
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [Counter(w for w in TERM.findall((t or "").lower()) if w in names) for t in batch.column(2).to_pylist()]
+            rows = [Counter(w for w in terms_of(t) if w in names) for t in batch.column(2).to_pylist()]
             kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
             rows = pa.array([[{"word": w, "n": n} for w, n in sorted(r.items())] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["doc_id", "toxic", "words"])
