@@ -21,20 +21,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm.common import components, materialise, partitions, slices
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit majority fingerprint, unsigned, of ASCII-lower-cased word shingles (repeats count)."""
+def fingerprints_of(text: str | None, width: int = 3, seeds: int = 1) -> list[int]:
+    """64-bit majority fingerprints, unsigned, of ASCII-lower-cased word shingles (repeats count).
+
+    The first takes the shingles' XXH64 as they are; further ones mix them anew and so are independent."""
     import numpy as np
     import xxhash
 
     # bytes.lower and bytes.split know exactly A-Z and \x20\x09-\x0D
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * seeds
     n = max(1, len(words) - width + 1)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -42,25 +44,35 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     starts = ends - size
     to = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), to.tolist(), strict=True)]), np.uint8)
-    # Majority over at most 2**16 shingles at a time keeps the unpacked bits small for very long texts.
-    h = h.reshape(n, 8)
-    ones = sum(np.unpackbits(h[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, n, 65536))
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns `carry` and fp (the fingerprint as a signed long)."""
+    h = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), to.tolist(), strict=True)]), ">u8")
+    out = []
+    for seed in range(seeds):
+        if seed:
+            z = (h.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            bits = (z ^ (z >> np.uint64(32))).astype(">u8")
+        else:
+            bits = h
+        bits = bits.view(np.uint8).reshape(n, 8)
+        # At most 2**16 shingles at a time keep the unpacked bits small for very long texts.
+        ones = sum(np.unpackbits(bits[i : i + 65536], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, n, 65536))
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = (), seeds: int = 1) -> DataFrame:
+    """doc_id, the columns `carry`, fp (the fingerprint as a signed long) and more (those of further seeds)."""
     out = docs.select("doc_id", *carry)
-    schema = StructType([*out.schema.fields, StructField("fp", LongType())])
+    schema = StructType([*out.schema.fields, StructField("fp", LongType()), StructField("more", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in slices(batches, "text"):
-            fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(batch.num_columns - 1)], np.uint64)
-            cols = [*batch.columns[:-1], pa.array(fp.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
+            rows = [fingerprints_of(t.as_py(), width, seeds) for t in batch.column(batch.num_columns - 1)]
+            fp = np.array(rows, np.uint64).view(np.int64).reshape(len(rows), seeds)
+            more = pa.array(fp[:, 1:].tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp[:, 0].copy()), more], schema.names)
 
     return docs.select("doc_id", *carry, "text").mapInArrow(run, schema)
 
@@ -209,12 +221,24 @@ def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
     return met.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000, carry: tuple[str, ...] = (), seeds: int = 1
+) -> DataFrame:
     """doc_id, the columns `carry`, fp, component (one of its fingerprints), component_id (smallest doc_id
-    reachable) and linked (whether the fingerprint has links); one row for each row of docs."""
-    fps = materialise(fingerprints(docs, width, carry), "simhash-fp")
+    reachable) and linked (whether the fingerprint has links); one row for each row of docs.
+
+    seeds: texts link if the fingerprints of any seed lie within the radius, which finds more of the copies
+    that differ in some words than one fingerprint does, at no wider radius."""
+    fps = materialise(fingerprints(docs, width, carry, seeds), "simhash-fp")
     least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
-    comp = components(links(least.select("fp"), radius, shard), "simhash")
+    edges = links(least.select("fp"), radius, shard)
+    for k in range(seeds - 1):  # what links by another seed links the first fingerprints
+        both = fps.select("fp", F.col("more")[k].alias("x")).distinct()
+        lead = materialise(both.groupBy("x").agg(F.min("fp").alias("lead")), "simhash-seed")
+        near = links(lead.select(F.col("x").alias("fp")), radius, shard)
+        near = near.join(lead.select(F.col("x").alias("u"), F.col("lead").alias("lu")), "u").join(lead.select(F.col("x").alias("v"), F.col("lead").alias("lv")), "v")
+        edges = edges.unionByName(both.join(lead, "x").selectExpr("fp u", "lead v")).unionByName(near.selectExpr("lu u", "lv v"))
+    comp = components(edges, "simhash")
     roots = comp.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of = comp.join(roots, "root").select(F.col("node").alias("fp"), F.col("root").alias("component"), "component_id")
     of = least.join(of, "fp", "left").select(

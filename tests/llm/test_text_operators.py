@@ -141,6 +141,19 @@ def test_simhash(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_simhash_seeds(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    near = [w if rng.random() > 0.012 else "other" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "short text"), (5, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = [simhash_dedup.fingerprints_of(t, 3, 16) for _, t in rows]
+    assert first[0][0] == simhash_dedup.fingerprints_of(rows[0][1])[0] and len(set(first[0])) == 16
+    assert any((a ^ b).bit_count() <= 3 for a, b in zip(first[0], first[1], strict=True))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, seeds=16).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 @pytest.mark.parametrize("shard", [7, 50, 20_000])
 def test_links_over_shards(spark, shard):
     rng = random.Random(3)
