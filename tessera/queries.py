@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import answers as A
+from tessera.operators import chunking as C
+from tessera.operators import evaluation as E
+from tessera.operators import labels as L
+from tessera.operators import retrieval as R
+from tessera.sources import corpus as S
+from tessera.sources import html as H
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+def lines(spark, sf) -> DataFrame:
+    return C.chunks(docs(spark, sf), C.line_spans)
+
+
+def passages(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def gold(spark, sf) -> DataFrame:
+    return E.gold_spans(docs(spark, sf).select("doc_id", "text"), passages(spark, sf))
+
+
+def rows(spark, schema: str, sql_values: str) -> DataFrame:
+    names = ", ".join(x.split()[0] for x in schema.split(", "))
+    return spark.sql(f"select * from values {sql_values} as t({names})")
+
+
+# ---- the same tables in DuckDB
+
+TOKEN = r"[a-z]+(?:''[a-z]+)?|\d[\d,]*(?:\.\d+)?%?"
+TOKENS = (
+    "flatten(list_transform(regexp_extract_all(lower({0}), '" + TOKEN + "'), lambda x: "
+    "case when contains(x, ',') and not ends_with(x, '%') then [x, replace(x, ',', '')] else [x] end))"
+)
+LINES = """parts as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
+placed as (select doc_id, line, (sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1)::bigint pos from parts),
+chunks as (select printf('%s#%08d-%08d', doc_id::varchar, pos + length(line) - length(ltrim(line)), pos + length(rtrim(line))) chunk_id, doc_id,
+  pos + length(line) - length(ltrim(line)) "start", pos + length(rtrim(line)) "end", trim(line) text from placed where trim(line) <> '')"""
+GOLD = """gold as (select item_id query_id, doc_id, strpos(d.text, b.text) - 1 "start", strpos(d.text, b.text) - 1 + length(b.text) "end", 2 gain
+  from documents d join benchmark b on strpos(d.text, b.text) > 0)"""
+QRELS = """covered as (select query_id, chunk_id, gain, greatest(0, least(c."end", g."end") - greatest(c."start", g."start"))::double / (g."end" - g."start") cov
+  from chunks c join gold g using (doc_id)), qrels as (select query_id, chunk_id, max(gain) gain from covered where cov >= 0.5 group by all)"""
+BM25 = (
+    f"tok as (select chunk_id, {TOKENS.format('text')} t from chunks), post as (select chunk_id, len(t) length, unnest(t) term from tok), "
+    "tf as (select chunk_id, length, term, count(*) tf from post group by all), stats as (select count(*) n, avg(len(t)) avgdl from tok), "
+    "dfs as (select term, count(*) df from tf group by 1), "
+    f"qt as (select query_id, term, count(*) qtf from (select item_id query_id, unnest({TOKENS.format('text')}) term from benchmark) group by all), "
+    "scored as (select query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 9) score "
+    "from qt join tf using (term) join dfs using (term), stats group by all), "
+    "run as (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from scored qualify rank <= 50)"
+)
+VECTORS = """v as (select vec_id, embedding::double[] e from embeddings), q as (select vec_id query_id, e q from v where vec_id % 50 = 0),
+dense as (select query_id, vec_id chunk_id, round(list_cosine_similarity(q, e), 9) score from q, v), drun as (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from dense qualify rank <= 20)"""
+METRICS = """ideal as (select query_id, sum(case when i <= 10 then (pow(2, gain) - 1) / log2(i + 1) end) idcg, count(*) relevant
+  from (select *, row_number() over (partition by query_id order by gain desc, chunk_id) i from qrels where gain > 0) group by 1),
+hit as (select query_id, sum(case when rank <= 10 then (pow(2, gain) - 1) / log2(rank + 1) end) dcg, count(*) filter (rank <= 50) found, min(rank) first
+  from run join qrels using (query_id, chunk_id) where gain > 0 group by 1),
+per as (select item_id query_id, case when relevant is not null then round(coalesce(dcg, 0) / idcg, 9) end ndcg,
+  case when relevant is not null then round(coalesce(found, 0) / relevant, 9) end recall,
+  case when relevant is not null then round(coalesce(1 / first, 0), 9) end rr
+  from benchmark b left join ideal i on b.item_id = i.query_id left join hit h on b.item_id = h.query_id)"""
+
+
+# ---- text and chunks
+
+
+@query(f"select doc_id, len({TOKENS.format('text')}) n_tokens, len(list_distinct({TOKENS.format('text')})) n_distinct, array_to_string({TOKENS.format('text')}[1:5], ' ') head from documents")
+def tokenize_counts(spark, sf):
+    t = T.tokens("text")
+    return docs(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+
+
+@query("select doc_id, greatest(1, round_even(length(text) / 4.0, 0))::int approx_tokens from documents")
+def approx_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", T.approx_tokens("text").alias("approx_tokens"))
+
+
+@query(f'with {LINES} select chunk_id, doc_id, "start", "end", text from chunks')
+def line_chunks(spark, sf):
+    return lines(spark, sf)
+
+
+@query()
+def fixed_chunks(spark, sf):
+    return C.chunks(docs(spark, sf), C.chunker("fixed512o64"))
+
+
+@query()
+def sentence_chunks(spark, sf):
+    return C.chunks(docs(spark, sf), C.chunker("sentences"))
+
+
+@query(f'with {LINES} select chunk_id, doc_id, "start", "end", text from chunks')
+def replayed_chunks(spark, sf):
+    return C.replay(docs(spark, sf), lines(spark, sf).select("doc_id", "start", "end"))
+
+
+@query(f'with {LINES} select count(*) filter (greatest(1, round_even(length(text) / 4.0, 0)) > 100) oversize, max(greatest(1, round_even(length(text) / 4.0, 0)))::bigint largest from chunks')
+def oversize_report(spark, sf):
+    return C.oversize(lines(spark, sf), 100)
+
+
+@query()
+def page_text_blocks(spark, sf):
+    x = H.documents(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+    return x.select("doc_id", "text", F.size("blocks").alias("n_blocks"), "error")
+
+
+# ---- retrieval
+
+
+@query(f"with {LINES}, tok as (select chunk_id, {TOKENS.format('text')} t from chunks), post as (select chunk_id, unnest(t) term from tok) select term, count(distinct chunk_id) df, count(*) cf from post group by 1")
+def postings_stats(spark, sf):
+    return R.postings(lines(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"with {LINES}, tok as (select chunk_id, {TOKENS.format('text')} t from chunks), dfs as (select term, count(*) df from (select distinct chunk_id, unnest(t) term from tok) group by 1), n as (select count(*) n from tok) select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) idf from dfs, n order by idf desc, term limit 100")
+def idf_report(spark, sf):
+    return R.idf_report(lines(spark, sf), 100)
+
+
+def bm25_run(spark, sf) -> DataFrame:
+    return R.bm25(lines(spark, sf), passages(spark, sf))
+
+
+@query(f"with {LINES}, {BM25} select query_id, chunk_id, rank::int rank, round(score, 6) score from run")
+def bm25_topk(spark, sf):
+    return bm25_run(spark, sf).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def dense_run(spark, sf, k: int = 20) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return R.dense(v, v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), k)
+
+
+@query(f"with {VECTORS} select query_id, chunk_id, rank::int rank, round(score, 6) score from drun")
+def dense_topk(spark, sf):
+    return dense_run(spark, sf).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def label_run(spark, sf) -> DataFrame:
+    """A second run: vectors of the query's label by hashed order."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    score = F.conv(F.substring(F.sha2(F.concat_ws("|", "query_id", "vec_id"), 256), 1, 8), 16, 10).cast("double")
+    return R.top_k(q.join(v, "label").select("query_id", F.col("vec_id").alias("chunk_id"), score.alias("score")), 20, "label")
+
+
+LABEL = """l as (select q.vec_id query_id, v.vec_id chunk_id, ('0x' || substr(sha256(q.vec_id || '|' || v.vec_id), 1, 8))::bigint::double score from embeddings q join embeddings v using (label) where q.vec_id % 50 = 0),
+lrun as (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from l qualify rank <= 20)"""
+
+
+@query(f"with {VECTORS}, {LABEL}, both_runs as (select query_id, chunk_id, rank, 'dense' source from drun union all select query_id, chunk_id, rank, 'label' from lrun), fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score, array_to_string(list_sort(list(source)), '+') source from both_runs group by all) select query_id, chunk_id, (row_number() over (partition by query_id order by score desc, chunk_id))::int rank, score, source from fused qualify rank <= 20")
+def rrf_hybrid(spark, sf):
+    return R.hybrid(dense_run(spark, sf), label_run(spark, sf), 20)
+
+
+@query(f"with {VECTORS}, {LABEL}, x as (select d.query_id, d.chunk_id, d.rank first, l.score s, case when d.rank <= 10 and l.score is not null then 0 when d.rank <= 10 then 1 else 2 end tier from drun d left join lrun l using (query_id, chunk_id)) select query_id, chunk_id, (row_number() over (partition by query_id order by tier, case when tier = 0 then -s end, case when tier > 0 then first end, chunk_id))::int rank, case when tier = 0 then s end score from x qualify rank <= 15")
+def rerank_two_tier(spark, sf):
+    return R.rerank(dense_run(spark, sf), label_run(spark, sf), 10, 15).select("query_id", "chunk_id", "rank", "score")
+
+
+# ---- relevance
+
+
+@query(f'with {GOLD} select query_id, doc_id::varchar || \':\' || "start" || \'-\' || "end" passage_id, doc_id, "start", "end", gain from gold')
+def gold_spans(spark, sf):
+    return gold(spark, sf)
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS} select * from qrels")
+def qrels(spark, sf):
+    return E.qrels(lines(spark, sf), gold(spark, sf))
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS}, best as (select query_id, max(cov) cov from covered group by 1) select m min_coverage, count(*) filter (cov >= m) reachable, count(*) n_gold from best, (values (0.3::double), (0.5), (0.7), (1.0)) t(m) group by 1")
+def coverage_sweep(spark, sf):
+    return E.coverage_sweep(lines(spark, sf), gold(spark, sf))
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS}, q as (select distinct query_id from gold) select count(*) n_gold, count(*) filter (query_id in (select query_id from qrels)) n_reachable, count(*) filter (query_id in (select query_id from qrels)) / count(*) fraction from q")
+def reachability(spark, sf):
+    g = gold(spark, sf)
+    return E.reachability(g, E.qrels(lines(spark, sf), g))
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS} select query_id from qrels intersect select query_id from covered where cov >= 1.0")
+def common_subset(spark, sf):
+    c, g = lines(spark, sf), gold(spark, sf)
+    both = E.qrels(c, g).withColumn("config", F.lit("half")).unionByName(E.qrels(c, g, 1.0).withColumn("config", F.lit("whole")))
+    return E.common_judgeable(both)
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS}, {BM25}, first as (select q.query_id, min(rank) first from qrels q left join run using (query_id, chunk_id) group by 1) select k depth, avg((coalesce(first, 1000) <= k)::int::double) ceiling, count(*) judged from first, (values (1), (5), (25), (50)) t(k) group by 1")
+def recall_ceiling(spark, sf):
+    return R.recall_ceiling(bm25_run(spark, sf), E.qrels(lines(spark, sf), gold(spark, sf)), [1, 5, 25, 50])
+
+
+def scores(spark, sf) -> DataFrame:
+    return E.per_query(bm25_run(spark, sf), E.qrels(lines(spark, sf), gold(spark, sf)), passages(spark, sf))
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS}, {BM25}, {METRICS} select * from per")
+def per_query_scores(spark, sf):
+    return scores(spark, sf)
+
+
+@query(f"with {LINES}, {GOLD}, {QRELS}, {BM25}, {METRICS}, long as (select 'ndcg' name, ndcg v from per union all select 'recall', recall from per union all select 'rr', rr from per) select name, round(avg(v), 6) \"value\", count(v) n_scored, count(*) - count(v) n_skipped from long group by 1")
+def score_run(spark, sf):
+    return E.summary(scores(spark, sf))
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda w: length(w) > 2 and not list_contains(" + STOP + ", w))"
+
+
+@query(f"select item_id, round(len(list_intersect({CONTENT.format('b.text')}, {CONTENT.format('d.text')})) / nullif(len({CONTENT.format('b.text')}), 0), 6) overlap from benchmark b join documents d on d.doc_id = b.item_id")
+def lexical_overlap(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
+    d = docs(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("text").alias("p"))
+    return b.join(d, "item_id").select("item_id", F.round(T.lexical_overlap("q", "p"), 6).alias("overlap"))
+
+
+@query("with x as (select doc_id, text, min(source) over (partition by text) a, max(source) over (partition by text) b from documents) select doc_id query_id from x where a <> b")
+def ambiguous_queries(spark, sf):
+    return L.ambiguous(docs(spark, sf).select(F.col("doc_id").alias("query_id"), "text", F.col("source").alias("passage_id")))
+
+
+@query("with h as (select doc_id, source, lang, sha256('42|' || doc_id) h from documents), g as (select * from h qualify row_number() over (partition by source order by h, doc_id) <= 5), s as (select *, row_number() over (partition by lang order by h, doc_id) s from g) select doc_id, source, lang, (row_number() over (order by s, lang))::int position from s qualify position <= 60")
+def stratified_sample(spark, sf):
+    return L.stratified_sample(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id", "source", "lang", 5, 60)
+
+
+@query("with x as (select doc_id, row_number() over (order by doc_id) - 1 i, count(*) over () n from documents) select doc_id from x where i % greatest(1, n // 40) = 0 and i // greatest(1, n // 40) < 40")
+def spaced_sample(spark, sf):
+    return L.spaced_sample(docs(spark, sf).select("doc_id"), ["doc_id"], 40)
+
+
+@query("select lang kind, source verification, count(*) n, round(avg(length(text)), 6) overlap, count(distinct doc_id) docs from documents group by all")
+def summarise(spark, sf):
+    x = docs(spark, sf).select(F.col("lang").alias("kind"), F.col("source").alias("verification"), F.length("text").alias("lexical_overlap"), "doc_id")
+    return L.summarise(x)
+
+
+# ---- statistics
+
+DRAW = "('0x' || substr(sha256({0}), 1, 15))::bigint"
+VALUES = "v as (select doc_id query_id, length(text)::double \"value\", row_number() over (order by doc_id) - 1 i from documents where doc_id < 100)"
+
+
+def sizes(spark, sf) -> DataFrame:
+    return docs(spark, sf).where("doc_id < 100").select(F.col("doc_id").alias("query_id"), F.length("text").cast("double").alias("value"))
+
+
+@query(f"with {VALUES}, n as (select count(*) n from v), d as (select b, {DRAW.format(chr(39) + '42|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} % n j from v, n, range(1000) t(b)), m as (select b, avg(\"value\") m from d join v on v.i = d.j group by 1) select (select round(avg(\"value\"), 9) from v) point, (select n from n) n, round(quantile_cont(m, 0.025), 9) low, round(quantile_cont(m, 0.975), 9) high from m")
+def bootstrap_ci(spark, sf):
+    return E.bootstrap_ci(sizes(spark, sf)).select("point", "n", "low", "high")
+
+
+@query(f"with x as (select doc_id query_id, length(text)::double a, length(text) + (doc_id % 7) - 3.0::double b from documents where doc_id < 100), s as (select f, round(abs(avg(case when {DRAW.format(chr(39) + '42|' + chr(39) + ' || f || ' + chr(39) + '|' + chr(39) + ' || query_id')} % 2 = 0 then b - a else a - b end)), 9) s from x, range(1000) t(f) group by 1), g as (select round(avg(a), 9) mean_base, round(avg(b), 9) mean_system, round(avg(b - a), 9) delta, count(*) n from x) select g.*, (select (count(*) filter (s >= abs(delta)) + 1) / 1001.0::double from s) p from g")
+def paired_test(spark, sf):
+    a = sizes(spark, sf)
+    return E.paired_test(a, a.withColumn("value", F.col("value") + F.col("query_id") % 7 - 3.0))
+
+
+PS = "('a', 0.01D), ('b', 0.04D), ('c', 0.03D), ('d', 0.005D), ('e', 0.5D)"
+
+
+@query("with t(name, p) as (values ('a', 0.01::double), ('b', 0.04), ('c', 0.03), ('d', 0.005), ('e', 0.5)), r as (select *, row_number() over (order by p, name) r, count(*) over () m from t), h as (select name, p, round(max(least(1, (m - r + 1) * p)) over (order by p, name rows unbounded preceding), 9) p_holm from r) select *, p_holm < 0.05 significant from h")
+def holm(spark, sf):
+    return E.holm(rows(spark, "name string, p double", PS))
+
+
+# ---- answers
+
+ANSWERS = """('q1', 'rag', 'It was 34,550 in 2025 [1][3][1].', array('a', 'b'), '$ 34,550', array('a'), 100, 10, 1.5D, false),
+('q2', 'rag', 'NOT IN CONTEXT', array('a', 'b'), '12', array('b'), 90, 5, 0.5D, false),
+('q3', 'long', 'A loss of (9,415) [2]', array('c', 'd'), '(9,415)', array('c'), 1000, 20, 9.0D, true),
+('q4', 'long', 'About 2.20 percent [1]', array('c'), '2.2', cast(null as array<string>), 1100, 30, 4.0D, false),
+('q5', 'rag', 'No number here', array('e'), '7', array('e'), 80, 8, 2.5D, false)"""
+ANSWER_COLS = "query_id string, arm string, answer string, context_ids a, expected string, gold_ids a, prompt_tokens int, output_tokens int, latency_seconds double, from_cache boolean"
+DUCK_ANSWERS = "a(" + ", ".join(x.split()[0] for x in ANSWER_COLS.split(", ")) + ") as (values " + ANSWERS.replace("array(", "list_value(").replace("cast(null as array<string>)", "null").replace("D,", "::double,") + ")"
+
+
+def answers(spark) -> DataFrame:
+    return rows(spark, ANSWER_COLS, ANSWERS)
+
+
+@query(f"with {DUCK_ANSWERS}, n as (select *, list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::int)) c from a) select query_id, len(list_filter(c, lambda x: x between 1 and len(context_ids)))::int n_valid, len(list_filter(c, lambda x: not x between 1 and len(context_ids)))::int n_invalid, contains(lower(answer), 'not in context') refused from n")
+def citations(spark, sf):
+    x = A.cited(answers(spark))
+    return x.select("query_id", F.size("cited_ids").alias("n_valid"), F.size("invalid_citations").alias("n_invalid"), T.refused("answer").alias("refused"))
+
+
+NUMBERS = "('34,550'), ('$ 34,550'), ('16.1 %'), ('(9,415)'), ('2.20'), ('none'), ('-5.0'), ('1,234.50 (x)')"
+
+
+@query(f"with t(raw) as (values {NUMBERS}), m as (select raw, replace(regexp_extract(replace(raw, ' ', ''), '-?\\d[\\d,]*(?:\\.\\d+)?'), ',', '') v from t), s as (select raw, case when contains(raw, '(') and contains(raw, ')') and not starts_with(v, '-') then '-' || v else v end v from m) select raw, case when replace(v, '-', '') = '' then null when contains(v, '.') then rtrim(rtrim(v, '0'), '.') else v end canonical from s")
+def number_match(spark, sf):
+    return rows(spark, "raw string", NUMBERS).select("raw", T.normalise_number("raw").alias("canonical"))
+
+
+@query("select * from (values ('q1', false, true, 1.0::double, true, true), ('q2', true, null, null, null, false), ('q3', false, true, 0.0, false, false), ('q4', false, true, null, null, false), ('q5', false, false, 0.0, false, false)) t(query_id, refused, value_correct, citation_precision, citation_recall, cited_a_hallucinated_passage)")
+def answer_scores(spark, sf):
+    return A.score(answers(spark)).drop("arm")
+
+
+@query(f"with {DUCK_ANSWERS} select arm, count(*) n, round((sum(prompt_tokens) * 0.3 + sum(output_tokens) * 2.5)::double / 1e6, 6) \"cost\", round((sum(prompt_tokens) * 0.3 + sum(output_tokens) * 2.5)::double / 1e6 / count(*), 8) cost_per_query, round(avg(prompt_tokens), 1) mean_prompt_tokens from a group by 1")
+def token_cost(spark, sf):
+    return A.token_cost(answers(spark), 0.3, 2.5)
+
+
+@query(f"with {DUCK_ANSWERS}, l as (select arm, list_sort(list(latency_seconds) filter (not from_cache)) l from a group by 1) select arm, len(l)::int n_live, l[len(l) // 2 + 1] p50, l[least(len(l) - 1, floor(len(l) * 0.95))::int + 1] p95 from l")
+def latency_index_pct(spark, sf):
+    return A.latency(answers(spark))
+
+
+@query("select * from (values ('rag', 3, round(1.0 / 3, 6)::double, 0.5::double, round(1.0 / 3, 6)::double, 0.5::double, 0.5::double), ('long', 2, 0.0, 1.0, 1.0, 0.0, 0.0)) t(arm, n, refusal_rate, accuracy_answered, accuracy_all, citation_precision, citation_recall)")
+def arm_summary(spark, sf):
+    return A.by_arm(A.score(answers(spark)))
+
+
+CH = "('c1', 'd1', 'R&D was 34,550 in 2025'), ('c2', 'd1', 'total 34,550'), ('c3', 'd1', 'sales 99'), ('c4', 'd2', 'also 34,550')"
+
+
+def small(spark):
+    chunks = rows(spark, "chunk_id string, doc_id string, text string", CH)
+    expected = rows(spark, "query_id string, doc_id string, value string", "('q1', 'd1', '34,550')")
+    strict = rows(spark, "query_id string, chunk_id string, gain int", "('q1', 'c1', 2)")
+    run = rows(spark, "query_id string, chunk_id string, rank int", "('q1', 'c2', 1), ('q1', 'c4', 2), ('q1', 'c3', 3)")
+    return chunks, expected, strict, run
+
+
+@query("select * from (values ('q1', 'c1', 2), ('q1', 'c2', 1)) t(query_id, chunk_id, gain)")
+def lenient_qrels(spark, sf):
+    chunks, expected, strict, _ = small(spark)
+    return E.lenient_qrels(strict, chunks, expected)
+
+
+@query("select 1::bigint affected, 1::bigint unjudged_hits, 1::bigint false_zeros")
+def unjudged(spark, sf):
+    chunks, expected, strict, run = small(spark)
+    return E.unjudged(run, strict, chunks, expected)
+
+
+# ---- sources
+
+
+@query("select doc_id, sha256(text) sha256, length(text)::bigint n_chars, coalesce(source, '') source from documents")
+def corpus_manifest(spark, sf):
+    return S.manifest(docs(spark, sf))
+
+
+@query("with o as (select doc_id, sha256(text) a from documents where doc_id % 10 <> 0), n as (select doc_id, sha256(case when doc_id % 7 = 0 then text || 'x' else text end) b from documents where doc_id % 13 <> 0) select case when a is null then 'added' when b is null then 'removed' when a <> b then 'changed' else 'same' end state, count(*) n from o full join n using (doc_id) group by 1")
+def drift(spark, sf):
+    d = docs(spark, sf)
+    new = d.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return S.drift(S.manifest(d.where("doc_id % 10 <> 0")), S.manifest(new))
+
+
+@query("select doc_id, length(text)::bigint n_chars from documents")
+def verified_corpus(spark, sf):
+    d = docs(spark, sf)
+    return S.verified(d, S.manifest(d)).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("select count(*) filter (d.doc_id is not null and v.vec_id is not null) matched, count(*) filter (v.vec_id is null) missing, count(*) filter (d.doc_id is null) unmatched, count(*) filter (d.doc_id is not null and v.vec_id is not null) / count(d.doc_id) coverage from documents d full join embeddings v on d.doc_id = v.vec_id")
+def vector_alignment(spark, sf):
+    return S.align_vectors(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id")), docs(spark, sf).select(F.col("doc_id").alias("chunk_id")))
+
+
+@query("with x as (select 'k' || (o_orderkey % 5) ticker, o_orderdate::date::varchar report_date, o_orderkey from orders), one as (select * from x qualify row_number() over (partition by ticker, report_date order by o_orderkey desc) = 1) select ticker, report_date, o_orderkey accession from one qualify row_number() over (partition by ticker order by report_date desc, o_orderkey desc) <= 4")
+def latest_filings(spark, sf):
+    o = table(spark, sf, "orders")
+    date = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    x = o.select(F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string")).alias("ticker"), date.alias("report_date"), date.alias("filing_date"), F.col("o_orderkey").alias("accession"), F.lit("10-K").alias("form"))
+    return S.latest_filings(x, 4).select("ticker", "report_date", "accession")
