@@ -56,6 +56,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def made_since(mark: int) -> list[str]:
+    """Paths of the tables made since made_since(0) had `mark` entries."""
+    return [path for _, path in _made[mark:]]
+
+
 def forget(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     drop_table(df.sparkSession, df._tessera_path)
