@@ -6,13 +6,36 @@ the next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, packing, simhash_dedup
-from tessera.llm.common import materialise
+from tessera.llm.common import drop_table, made_since, materialise
+
+_left: list[str] = []
+
+
+def _stage(f):
+    """A stage begins when its predecessor's result is written: tables that only led there go, unless docs reads them."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        for path in list(_left):
+            if not any(path.rpartition("/")[2] in file for file in read):
+                drop_table(spark, path)
+                _left.remove(path)
+        mark = len(made_since(0))
+        out = f(spark, docs, sf_dir)
+        _left.extend(made_since(mark))
+        return out
+
+    return run_stage
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those the byte network rejects (`und`) go."""
     return language_id.recognised(docs, language_id.train(docs))
@@ -23,6 +46,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     rows = _numbered(docs)
@@ -30,6 +54,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints link, the one with the smallest doc_id stays.
 
@@ -43,11 +68,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, as its text."""
     return mixing.take(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows."""
     return packing.digest(packing.pack(docs))
@@ -69,4 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        _left.append(docs._tessera_path)
     return STAGES[-1][1](spark, docs, sf_dir)
