@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,21 +45,84 @@ def top_k(scores: DataFrame, k: int, source: str) -> DataFrame:
     return out.select("query_id", "chunk_id", "rank", "score", F.lit(source).alias("source"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 with query-term multiplicity. Only postings of the queries' terms are kept before the shuffle."""
-    q = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    t = tokens("text")
-    lean = chunks.select("chunk_id", t.alias("tokens")).select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    lean = lean.join(q.select("term").distinct(), "term", "left_semi")
-    tf = lean.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = collection(chunks).select("n", F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    weight = q.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    weight = weight.select("query_id", "term", (F.col("qtf") * idf(F.col("df"), F.col("n"))).alias("w"), "avgdl")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    score = F.round(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / norm), 9)
-    scores = tf.join(weight, "term").groupBy("query_id", "chunk_id").agg(score.alias("score")).where("score > 0")
-    return top_k(scores, k, "bm25")
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, block: int = 1024) -> DataFrame:
+    """Okapi BM25 with query-term multiplicity, for blocks of queries.
+
+    One pass counts the document frequencies of a block's terms (partial sums only are shuffled), a second scores
+    each batch of chunks for all queries of the block and keeps the batch's k best, so postings never move."""
+    out: DataFrame | None = None
+    held: list = []
+    kinds = [queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType]
+    stats = None
+    for r in queries.select("query_id", tokens("text").alias("tokens")).toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            stats = stats or collection(chunks).first()
+            part = _bm25_block(chunks, held, stats, k, k1, b, kinds)
+            out, held = part if out is None else out.unionByName(part), []
+    if held:
+        part = _bm25_block(chunks, held, stats or collection(chunks).first(), k, k1, b, kinds)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        empty = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, rank int, score double, source string"
+        return chunks.sparkSession.createDataFrame([], empty)
+    return top_k(out, k, "bm25")
+
+
+def _bm25_block(chunks: DataFrame, queries: list, stats, k: int, k1: float, b: float, kinds: list) -> DataFrame:
+    """query_id, chunk_id, score: candidates that hold each query's k best."""
+    import math
+
+    spark = chunks.sparkSession
+    vocabulary = sorted({t for q in queries for t in q.tokens})
+    asked = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+    each = chunks.select(F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    # The block's vocabulary is bounded by its queries, so it is broadcast.
+    df = {r.term: r.n for r in each.join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n")).collect()}
+    at = {t: i for i, t in enumerate(vocabulary)}
+    weights: dict[int, list[tuple[int, float]]] = {}
+    for i, q in enumerate(queries):
+        for t in q.tokens:
+            if n := df.get(t):
+                weights.setdefault(at[t], []).append((i, max(0.0, math.log(1 + (stats.n - n + 0.5) / (n + 0.5)))))
+    sent = spark.sparkContext.broadcast((vocabulary, weights, [q.query_id for q in queries]))
+    avgdl = stats.avgdl or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        vocabulary, weights, ids = sent.value
+        known, names = pa.array(vocabulary, pa.string()), pa.array(ids, to_arrow_type(kinds[0]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                part = whole.slice(at, 4096)
+                n = part.num_rows
+                order = np.argsort(np.array(part.column(0).to_pylist()), kind="stable")  # ties go to smaller ids
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(n)
+                offsets = part.column(1).offsets.to_numpy()
+                length = np.diff(offsets)
+                term = pc.index_in(part.column(1).flatten(), known).fill_null(-1).to_numpy()
+                key = term.astype(np.int64) * n + np.repeat(place, length)
+                key, tf = np.unique(key[term >= 0], return_counts=True)
+                term, doc = key // n, key % n
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[order][doc] / avgdl))
+                score = np.zeros((len(ids), n))
+                cuts = np.flatnonzero(np.diff(term, prepend=-1))
+                for lo, hi in zip(cuts, np.append(cuts, len(term))[1:], strict=True):
+                    for i, w in weights.get(int(term[lo]), ()):
+                        score[i, doc[lo:hi]] += w * value[lo:hi]
+                score = np.round(score, 9)
+                best = np.argpartition(-score, min(k, n) - 1, axis=1)[:, : min(k, n)] if n > k else np.broadcast_to(np.arange(n), (len(ids), n))
+                least = np.take_along_axis(score, best, 1).min(axis=1)
+                query, col = np.nonzero((score >= least[:, None]) & (score > 0))  # with all ties of the k-th
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query)), part.column(0).take(pa.array(order[col])), pa.array(score[query, col])],
+                    ["query_id", "chunk_id", "score"],
+                )
+
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    return chunks.select("chunk_id", tokens("text").alias("tokens")).mapInArrow(run, schema)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1024) -> DataFrame:
