@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tessera.functions.text import dot, l2_normalize
 
 ATOM = re.compile(r"\S+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
@@ -161,3 +164,32 @@ def corpus_digest(docs: DataFrame) -> DataFrame:
     byte = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 4)
     folded = docs.groupBy(byte.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ""), 256).alias("d"))
     return folded.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.count("*").alias("parts"))
+
+
+def breakpoints(units: DataFrame, percentile: float = 95) -> DataFrame:
+    """doc_id, pos, distance (to the unit before), part: units (doc_id, pos, embedding) grouped where the cosine
+    distance exceeds the document's percentile. NULL distance at a document's first unit."""
+    v = l2_normalize("embedding")
+    order = W.partitionBy("doc_id").orderBy("pos")
+    x = units.select("doc_id", "pos", v.alias("v")).withColumn("before", F.lag("v").over(order))
+    x = x.select("doc_id", "pos", F.when(F.col("before").isNotNull(), F.round(1 - dot("v", "before"), 9)).alias("distance"))
+    limit = F.percentile("distance", F.lit(percentile / 100)).over(W.partitionBy("doc_id"))
+    x = x.withColumn("cut", F.coalesce((F.col("distance") > limit).cast("int"), F.lit(0)))
+    return x.select("doc_id", "pos", "distance", F.sum("cut").over(order).alias("part"))
+
+
+def struct_chunks(parsed: DataFrame, target: int = 512) -> DataFrame:
+    """chunk_id, doc_id, start, end, text of documents with blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, text, blocks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for start, end in struct_spans(blocks or [], text or "", target):
+                    out.append((f"{doc}#{start:08d}-{end:08d}", doc, start, end, text[start:end]))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.string(), b.column(0).type, pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk_id", "doc_id", "start", "end", "text"])
+
+    kind = parsed.schema["doc_id"].dataType.simpleString()
+    return parsed.select("doc_id", "text", "blocks").mapInArrow(run, f"chunk_id string, doc_id {kind}, start bigint, end bigint, text string")

@@ -134,6 +134,16 @@ def page_text_blocks(spark, sf):
     return x.select("doc_id", "text", F.size("blocks").alias("n_blocks"), "error")
 
 
+@query()
+def struct_chunks(spark, sf):
+    return C.struct_chunks(H.documents(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html")), 128)
+
+
+@query("with u as (select label doc_id, vec_id pos, embedding::double[] e, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings), d as (select doc_id, pos, round(1 - list_cosine_similarity(e, b), 9) distance from u), l as (select doc_id, quantile_cont(distance, 0.95) l from d group by 1) select doc_id, pos, distance, (sum(coalesce((distance > l)::int, 0)) over (partition by doc_id order by pos))::bigint part from d join l using (doc_id)")
+def sentence_breakpoints(spark, sf):
+    return C.breakpoints(table(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("pos"), "embedding"))
+
+
 # ---- retrieval
 
 
@@ -249,6 +259,11 @@ def lexical_overlap(spark, sf):
     return b.join(d, "item_id").select("item_id", F.round(T.lexical_overlap("q", "p"), 6).alias("overlap"))
 
 
+@query(f"with {LINES}, {GOLD}, {QRELS}, {BM25}, {METRICS}, o as (select item_id query_id, round(len(list_intersect({CONTENT.format('b.text')}, {CONTENT.format('d.text')})) / nullif(len({CONTENT.format('b.text')}), 0), 6) overlap from benchmark b join documents d on d.doc_id = b.item_id) select round(avg(case when overlap < 0.4 then ndcg end), 6) low, round(avg(case when overlap >= 0.4 then ndcg end), 6) high from per join o using (query_id)")
+def overlap_split(spark, sf):
+    return E.overlap_split(scores(spark, sf), lexical_overlap(spark, sf).withColumnRenamed("item_id", "query_id"))
+
+
 @query("with x as (select doc_id, text, min(source) over (partition by text) a, max(source) over (partition by text) b from documents) select doc_id query_id from x where a <> b")
 def ambiguous_queries(spark, sf):
     return L.ambiguous(docs(spark, sf).select(F.col("doc_id").alias("query_id"), "text", F.col("source").alias("passage_id")))
