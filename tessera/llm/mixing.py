@@ -5,6 +5,8 @@ or more, of which there are at most about 2**20 whatever the input (so tables of
 each source's blocks then go to its shards (runs of `run` blocks) by the same rule, which gives an integer
 quota per shard, and a seeded order within the shard selects the blocks. No block is taken more than
 `most` times, so no document exceeds `most` times its size. A document's taken words are those of its blocks.
+A source's words come within three blocks of its target: one seat by apportionment, and its last block, which
+may be short, up to twice.
 
 Streams are positioned by two running sums, over hashed buckets of a source and within a bucket, so a hot
 source is spread over tasks. The tables that one task orders have a row per source.
