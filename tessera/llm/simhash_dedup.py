@@ -7,7 +7,8 @@ one shard meets the members of the other, so memory is bounded and no link is lo
 (children keyed by integer Hamming distance to the parent) is built and probed level by level in numpy,
 following only edges within the radius; the trees travel with the shuffle to their probes instead of a
 broadcast, as their number grows with the data. A shard gives its links as a spanning star of each local
-component, never as all pairs. Components over all shards come from common.components.
+component, never as all pairs. Components over all shards come from common.components. near_copies proposes
+pairs by fingerprints of several seeds and links those whose word shingles are alike.
 
 Edge cases: null text counts as empty; no words: fingerprint zero, linked like any other; fewer words than
 the shingle: the whole sequence is the one shingle; null ids take part and count as larger than all others;
@@ -170,38 +171,46 @@ def link_groups(fp, group, tree, probe, radius: int):
     return fp[root[v]], fp[v]
 
 
-def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that connect all within the radius."""
-    spark = fps.sparkSession
+def _met(fps: DataFrame, radius: int, shard: int) -> DataFrame:
+    """fps (fp and perhaps more, one of them seed) dealt to the shards of their block values; own tells a row's shard."""
     blocks = radius + 1
     width = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    seed = F.col("seed") if "seed" in fps.columns else F.lit(0)
     keys, at = [], 0
     for i, w in enumerate(width):
         mask = (1 << w) - 1
-        keys.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask)).alias("part")))
+        keys.append(F.struct((seed * blocks + i).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask)).alias("part")))
         at += w
-    dealt = fps.select("fp", F.inline(F.array(*keys)))
+    rest = [c for c in fps.columns if c != "seed"]
+    dealt = fps.select(*rest, F.inline(F.array(*keys)))
     size = dealt.groupBy("block", "part").count().where("count > 1")
     size = size.select("block", "part", F.ceil(F.col("count") / shard).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int")
     met = dealt.join(size, ["block", "part"]).withColumn("own", own)
-    met = met.select("fp", "block", "part", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    met = met.select("fp", "block", "part", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own")
-    met = met.repartition(partitions(spark), "block", "part", "i", "j").sortWithinPartitions("block", "part", "i", "j", "fp")
+    met = met.select(*rest, "block", "part", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    met = met.select(*rest, "block", "part", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own")
+    key = ["block", "part", "i", "j"]
+    return met.repartition(partitions(fps.sparkSession), *key).sortWithinPartitions(*key, *rest[::-1])
+
+
+def _groups(table):
+    """group (a number by block value and pair of shards), tree and probe of the rows, sorted by them."""
+    import numpy as np
+
+    key = [table.column(c).to_numpy() for c in ("block", "part", "i", "j")]
+    new = np.zeros(table.num_rows, np.int64)
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    own = table.column("own").to_numpy()
+    return np.cumsum(new), own == key[2], own == key[3]
+
+
+def _by_group(solve, shard: int):
+    """A mapInArrow function that gives `solve` tables of whole groups, of about two shards at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def solve(table):
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            key = [table.column(c).to_numpy() for c in ("block", "part", "i", "j")]
-            new = np.zeros(len(fp), np.int64)
-            for k in key:
-                new[1:] |= k[1:] != k[:-1]
-            own, i, j = table.column("own").to_numpy(), key[2], key[3]
-            u, v = link_groups(fp, np.cumsum(new), own == i, own == j, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
         held: list[pa.RecordBatch] = []
         count = 0
         for b in batches:
@@ -218,36 +227,134 @@ def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
         if count:
             yield solve(pa.Table.from_batches(held))
 
-    return met.mapInArrow(run, "u bigint, v bigint")
+    return run
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000, carry: tuple[str, ...] = (), seeds: int = 1
-) -> DataFrame:
-    """doc_id, the columns `carry`, fp, component (one of its fingerprints), component_id (smallest doc_id
-    reachable) and linked (whether the fingerprint has links); one row for each row of docs.
+def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) that connect all within the radius."""
+
+    def solve(table):
+        import numpy as np
 
-    seeds: texts link if the fingerprints of any seed lie within the radius, which finds more of the copies
-    that differ in some words than one fingerprint does, at no wider radius."""
-    fps = materialise(fingerprints(docs, width, carry, seeds), "simhash-fp")
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        u, v = link_groups(fp, *_groups(table), radius)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    return _met(fps.select("fp"), radius, shard).mapInArrow(_by_group(solve, shard), "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable) and linked (whether the fingerprint has links); one
+    row for each row of docs."""
+    fps = materialise(fingerprints(docs, width).drop("more"), "simhash-fp")
     least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
-    edges = links(least.select("fp"), radius, shard)
-    for k in range(seeds - 1):  # what links by another seed links the first fingerprints
-        both = fps.select("fp", F.col("more")[k].alias("x")).distinct()
-        lead = materialise(both.groupBy("x").agg(F.min("fp").alias("lead")), "simhash-seed")
-        near = links(lead.select(F.col("x").alias("fp")), radius, shard)
-        near = near.join(lead.select(F.col("x").alias("u"), F.col("lead").alias("lu")), "u").join(lead.select(F.col("x").alias("v"), F.col("lead").alias("lv")), "v")
-        edges = edges.unionByName(both.join(lead, "x").selectExpr("fp u", "lead v")).unionByName(near.selectExpr("lu u", "lv v"))
-    comp = components(edges, "simhash")
+    comp = components(links(least.select("fp"), radius, shard), "simhash")
     roots = comp.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = comp.join(roots, "root").select(F.col("node").alias("fp"), F.col("root").alias("component"), "component_id")
+    of = comp.join(roots, "root").select(F.col("node").alias("fp"), "root", "component_id")
     of = least.join(of, "fp", "left").select(
         "fp",
-        F.coalesce("component", "fp").alias("component"),
-        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("component").isNotNull().alias("linked"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("root").isNotNull().alias("linked"),
     )
-    return fps.join(of, "fp").select("doc_id", *carry, "fp", "component", "component_id", "linked")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "linked")
+
+
+def best_matches(fp, group, tree, probe, radius: int):
+    """Rows (v, u, d, degree): each item's nearest match in its group, and its match that has most matches.
+
+    Copies of one text all match that text, so the busiest match leads to it where copies differ from each other.
+    Equal fingerprints of a group stand next to each other; the first is matched, the others match it at 0."""
+    import numpy as np
+
+    same = np.zeros(len(fp), bool)
+    same[1:] = (fp[1:] == fp[:-1]) & (group[1:] == group[:-1])
+    lead = np.flatnonzero(~same)
+    first = lead[np.cumsum(~same) - 1]
+    t, q = lead[tree[lead]], lead[probe[lead]]
+    forest = BKForest(fp[t], group[t])
+    n = len(fp)
+    degree = np.zeros(n, np.int64)
+    none = np.iinfo(np.int64).max
+    near, busy = np.full(n, none), np.full(n, none)
+    for count in (True, False):
+        for p, node in forest.within(fp[q], group[q], radius):
+            a, b = q[p], t[node]
+            a, b = a[a != b], b[a != b]
+            if count:
+                degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                continue
+            d = _popcount(fp[a] ^ fp[b])
+            for v, u in ((a, b), (b, a)):
+                np.minimum.at(near, v, d * n + u)
+                np.minimum.at(busy, v, (2 * n - degree[u]) * n + u)
+    has = np.flatnonzero(near < none)
+    copies = np.flatnonzero(same)
+    v = np.concatenate([has, has, copies])
+    u = np.concatenate([near[has] % n, busy[has] % n, first[copies]])
+    return v, u, _popcount(fp[v] ^ fp[u]), degree[u]
+
+
+def candidates(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
+    """Pairs (v, u) of rows worth comparing, at most two for each v: the match that most fingerprints and blocks name as
+    v's nearest or busiest, and the busiest. fps: row, and all, an array of fingerprints."""
+    met = _met(fps.select("row", F.posexplode("all").alias("seed", "fp")), radius, shard)
+
+    def solve(table):
+        import numpy as np
+
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        v, u, d, degree = best_matches(fp, *_groups(table), radius)
+        row = table.column("row").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row[v], row[u], d, degree)], ["v", "u", "d", "degree"])
+
+    found = met.mapInArrow(_by_group(solve, shard), "v bigint, u bigint, d bigint, degree bigint")
+    found = found.groupBy("v", "u").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.max("degree").alias("degree"))
+    best = found.groupBy("v").agg(
+        F.max_by("u", F.struct("n", -F.col("d"), -F.col("u"))).alias("a"), F.max_by("u", F.struct("degree", "n", -F.col("u"))).alias("b")
+    )
+    pairs = best.select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u"))
+    return pairs.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
+
+
+def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
+    """row, grams: the distinct hashes of a text's word shingles (fewer words: the whole sequence; none: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in slices(batches, "text"):
+            grams = []
+            for text in batch.column(1):
+                w = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                n = max(1, len(w) - width + 1) if w else 0
+                grams.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(n)), np.uint64, n)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["row", "grams"])
+
+    return docs.select("row", "text").mapInArrow(run, "row bigint, grams array<bigint>")
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int = 8, radius: int = 3, shard: int = 20_000, pairs_a_task: int = 2_000) -> DataFrame:
+    """row, component: rows of docs (row, doc_id, text) that are near copies of others, with their group.
+
+    Fingerprints of two-word shingles, by several seeds, propose pairs (an edit changes fewer of them than of longer
+    ones, so more copies come within the radius), and a pair links only if the texts' distinct `width`-word shingles have
+    a Jaccard similarity of `least` or more. Rows without a link are left out; two texts without words are equal.
+    Candidate pairs grow with the rows, never with the square of a group."""
+    fps = fingerprints(docs, 2, carry=("row",), seeds=seeds).select("row", F.concat(F.array("fp"), "more").alias("all"))
+    pairs = materialise(candidates(materialise(fps, "near-fp"), radius, shard), "near-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    grams = materialise(shingle_hashes(docs.join(asked, "row", "left_semi"), width), "near-grams")
+    # A text with many copies meets them in as many tasks as they need.
+    size = pairs.groupBy("u").agg(F.ceil(F.count("*") / pairs_a_task).cast("int").alias("k"))
+    left = grams.withColumnRenamed("row", "u").join(size, "u")
+    left = left.select("u", F.col("grams").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    right = pairs.join(size, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("part"))
+    right = right.join(grams.select(F.col("row").alias("v"), F.col("grams").alias("y")), "v")
+    both = F.size(F.array_intersect("x", "y"))
+    alike = F.size("x") + F.size("y") - both
+    linked = left.join(right, ["u", "part"]).where((alike == 0) | (both >= F.lit(least) * alike)).select("u", "v")
+    return components(linked, "near").select(F.col("node").alias("row"), F.col("root").alias("component"))
 
 
 def op3_simhash_bktree(spark, sf_dir: str) -> DataFrame:

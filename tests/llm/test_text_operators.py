@@ -150,8 +150,42 @@ def test_simhash_seeds(spark):
     first = [simhash_dedup.fingerprints_of(t, 3, 16) for _, t in rows]
     assert first[0][0] == simhash_dedup.fingerprints_of(rows[0][1])[0] and len(set(first[0])) == 16
     assert any((a ^ b).bit_count() <= 3 for a, b in zip(first[0], first[1], strict=True))
-    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, seeds=16).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    docs = docs.withColumn("row", F.col("doc_id") * 10)
+    got = {r.row: r.component for r in simhash_dedup.near_copies(docs, seeds=16).collect()}
+    assert got.keys() == {10, 20, 40, 50} and got[10] == got[20] != got[40] == got[50]
+
+
+@pytest.mark.parametrize("shard", [5, 20_000])
+def test_near_copies(spark, shard):
+    """Variants of three texts: every link is a pair of 0.8 or more, and no such pair stays apart where edits are few."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
+    bases = [rng.choices(vocabulary, k=300) for _ in range(3)]
+    texts = {}
+    for i in range(60):
+        words = list(bases[i % 3])
+        for _ in range(rng.choice([0, 1, 2, 20])):
+            words[rng.randrange(300)] = f"new{i}"
+        texts[i] = " ".join(words)
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in texts.items()}
+    alike = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    docs = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "row bigint, doc_id bigint, text string")
+    got = {r.row: r.component for r in simhash_dedup.near_copies(docs, shard=shard, pairs_a_task=3).collect()}
+    of = lambda i: got.get(i, -i - 1)
+    assert all(any(alike(i, j) for j in got if j != i and got[j] == got[i]) for i in got)
+    assert all(of(i) == of(j) for i in texts for j in texts if i < j and alike(i, j))
+    assert len({c for i, c in got.items()}) == 3
+
+
+def test_near_copies_edges(odd, none):
+    rows = odd.withColumn("row", F.monotonically_increasing_id())
+    of = {r.row: (r.doc_id, r.text) for r in rows.collect()}
+    got = {r.row: r.component for r in simhash_dedup.near_copies(rows).collect()}
+    groups = {}
+    for row, c in got.items():
+        groups.setdefault(c, []).append(of[row][0])
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [3, 4, 8], [7, 7]]
+    assert simhash_dedup.near_copies(none.withColumn("row", F.lit(1).cast("bigint"))).count() == 0
 
 
 @pytest.mark.parametrize("shard", [7, 50, 20_000])
