@@ -56,16 +56,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the smallest doc_id stays.
-
-    Fingerprints are of three-word shingles, as in the operator's query: within three bits they belong to texts
-    that share about 0.8 or more of their five-word shingles, while fingerprints of five-word shingles differ
-    by 8 bits at the median there. Four seeds find most such copies, where one finds a quarter."""
+    """Of documents linked as near copies (five-word shingles with a Jaccard similarity of 0.8 or more), the one
+    with the smallest doc_id stays. Simhash fingerprints of eight seeds propose the pairs that are compared."""
     rows = _numbered(docs)
-    found = simhash_dedup.near_duplicates(rows, carry=("_row",), seeds=4)
+    found = simhash_dedup.near_copies(rows.withColumnRenamed("_row", "row")).withColumnRenamed("row", "_row")
+    ids = found.join(rows.select("_row", "doc_id"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    stays = ids.groupBy("component").agg(first).select(F.col("first._row").alias("_row"))
+    drop = ids.select("_row").join(stays, "_row", "left_anti")
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
 
 
 @_stage
