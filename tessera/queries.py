@@ -288,11 +288,11 @@ def summarise(spark, sf):
 # ---- statistics
 
 DRAW = "('0x' || substr(sha256({0}), 1, 15))::bigint"
-VALUES = "v as (select doc_id query_id, length(text)::double \"value\", row_number() over (order by doc_id) - 1 i from documents where doc_id < 100)"
+VALUES = "v as (select item_id query_id, length(text)::double \"value\", row_number() over (order by item_id) - 1 i from benchmark)"
 
 
 def sizes(spark, sf) -> DataFrame:
-    return docs(spark, sf).where("doc_id < 100").select(F.col("doc_id").alias("query_id"), F.length("text").cast("double").alias("value"))
+    return passages(spark, sf).select("query_id", F.length("text").cast("double").alias("value"))
 
 
 @query(f"with {VALUES}, n as (select count(*) n from v), d as (select b, {DRAW.format(chr(39) + '42|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} % n j from v, n, range(1000) t(b)), m as (select b, avg(\"value\") m from d join v on v.i = d.j group by 1) select (select round(avg(\"value\"), 9) from v) point, (select n from n) n, round(quantile_cont(m, 0.025), 9) low, round(quantile_cont(m, 0.975), 9) high from m")
@@ -300,7 +300,7 @@ def bootstrap_ci(spark, sf):
     return E.bootstrap_ci(sizes(spark, sf)).select("point", "n", "low", "high")
 
 
-@query(f"with x as (select doc_id query_id, length(text)::double a, length(text) + (doc_id % 7) - 3.0::double b from documents where doc_id < 100), s as (select f, round(abs(avg(case when {DRAW.format(chr(39) + '42|' + chr(39) + ' || f || ' + chr(39) + '|' + chr(39) + ' || query_id')} % 2 = 0 then b - a else a - b end)), 9) s from x, range(1000) t(f) group by 1), g as (select round(avg(a), 9) mean_base, round(avg(b), 9) mean_system, round(avg(b - a), 9) delta, count(*) n from x) select g.*, (select (count(*) filter (s >= abs(delta)) + 1) / 1001.0::double from s) p from g")
+@query(f"with x as (select item_id query_id, length(text)::double a, length(text) + (item_id % 7) - 3.0::double b from benchmark), s as (select f, round(abs(avg(case when {DRAW.format(chr(39) + '42|' + chr(39) + ' || f || ' + chr(39) + '|' + chr(39) + ' || query_id')} % 2 = 0 then b - a else a - b end)), 9) s from x, range(1000) t(f) group by 1), g as (select round(avg(a), 9) mean_base, round(avg(b), 9) mean_system, round(avg(b - a), 9) delta, count(*) n from x) select g.*, (select (count(*) filter (s >= abs(delta)) + 1) / 1001.0::double from s) p from g")
 def paired_test(spark, sf):
     a = sizes(spark, sf)
     return E.paired_test(a, a.withColumn("value", F.col("value") + F.col("query_id") % 7 - 3.0))
@@ -394,11 +394,12 @@ def corpus_manifest(spark, sf):
     return S.manifest(docs(spark, sf))
 
 
-@query("with o as (select doc_id, sha256(text) a from documents where doc_id % 10 <> 0), n as (select doc_id, sha256(case when doc_id % 7 = 0 then text || 'x' else text end) b from documents where doc_id % 13 <> 0) select case when a is null then 'added' when b is null then 'removed' when a <> b then 'changed' else 'same' end state, count(*) n from o full join n using (doc_id) group by 1")
+@query("with o as (select doc_id, sha256(text) a from documents), n as (select doc_id, sha256(replace(text, chr(10), ' ')) b from documents union all select -1 - item_id, sha256(text) from benchmark) select case when a is null then 'added' when b is null then 'removed' when a <> b then 'changed' else 'same' end state, count(*) n from o full join n using (doc_id) group by 1")
 def drift(spark, sf):
     d = docs(spark, sf)
-    new = d.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return S.drift(S.manifest(d.where("doc_id % 10 <> 0")), S.manifest(new))
+    new = d.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), "source")
+    new = new.unionByName(table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text", F.lit("benchmark").alias("source")))
+    return S.drift(S.manifest(d), S.manifest(new))
 
 
 @query("select doc_id, length(text)::bigint n_chars from documents")
