@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Training rows are those with a label outside the held-out fold. A bounded sample of them (`sample`
-documents, least hashes of their id) chooses the vocabulary - the `terms` words or word beginnings whose
-presence tells the labels apart best by chi-square, `least` or more - and serves as the examples, half of them toxic if there are as many. The
-idf of the vocabulary counts all documents. Scores are exact: the examples, ordered so that like vectors stand
+documents, least hashes of their id) chooses the vocabulary - every word or word beginning whose presence tells
+the labels apart by a chi-square of `least` or more, however many they are - and serves as the examples, half of
+them toxic if there are as many. The default of 30 (four in a hundred million by chance) leaves under one chance
+term among the hundred thousands that a sample has. The idf of the vocabulary counts all documents. Scores are exact: the examples, ordered so that like vectors stand
 together, are cut into blocks; a query visits blocks by falling bound (its weights times the terms' block
 maxima) until the bound is below the k-th similarity found. Votes are weighted by similarity, and a
 logistic curve fitted on leave-one-out votes of the examples calibrates the score.
@@ -155,7 +156,7 @@ class Neighbours:
         return self.cache[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, terms: int = 40, least: float = 30.0, k: int = 15) -> Neighbours | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: float = 30.0, k: int = 15) -> Neighbours | None:
     """Examples and vocabulary from a bounded sample of labelled rows outside the held-out fold."""
     ours = labels.where((crc_fold(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     h = F.xxhash64("doc_id")
@@ -181,8 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, terms: int = 4
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = n1 - a, n0 - b
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * n1 * n0)
-    best = seen.where(chi > least).orderBy(chi.desc(), "word").limit(terms).collect()
-    names = {r.word for r in best}
+    names = {r.word for r in seen.where(chi > least).select("word").collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents and how many of them have each word of the vocabulary."""

@@ -121,6 +121,16 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_every_significant_term_counts(spark):
+    terms = [a + b + "z" for a in "abcdefghij" for b in "klmnop"]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:1200]
+    rows = [(i, " ".join(terms[(3 * n + j) % 60] for j in range(3)) if n < 600 else "plain words", int(n < 600)) for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(frame.drop("toxic"), frame.drop("text"))
+    assert set(terms) <= set(model.names)
+    assert all(model.score(t) > 0.5 for t in terms)
+
+
 # ---- content-defined chunks
 
 
