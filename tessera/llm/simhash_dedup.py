@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import components, materialise, partitions, slices
+from tessera.llm.common import components, forget, materialise, partitions, slices
 
 
 def fingerprints_of(text: str | None, width: int = 3, seeds: int = 1) -> list[int]:
@@ -316,6 +316,79 @@ def candidates(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFram
     return pairs.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
 
 
+def _rank(x):
+    """How many equal items stand before each item."""
+    import numpy as np
+
+    order = np.argsort(x, kind="stable")
+    new = np.append(True, np.diff(x[order]) != 0)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return out
+
+
+def _products(first, n, second, m, step: int) -> Iterator[tuple]:
+    """All pairs of the ranges first[i], n[i] long, with the ranges second[i], m[i] long, about `step` at a time."""
+    import numpy as np
+
+    ends = np.cumsum(n * m)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        k = np.arange(at, min(at + step, int(ends[-1])))
+        i = np.searchsorted(ends, k, "right")
+        k = k - (ends[i] - n[i] * m[i])
+        yield first[i] + k // m[i], second[i] + k % m[i]
+
+
+def open_matches(fp, comp, group, tree, probe, radius: int, most: int, step: int = 1 << 20):
+    """Pairs (a, b) of rows of a group within the radius and of two components, and whether any were left out: of each
+    row at least `most`, if it has so many. Rows stand by group, fingerprint and component."""
+    import numpy as np
+
+    n = len(fp)
+    new = np.append(True, (fp[1:] != fp[:-1]) | (group[1:] != group[:-1]))
+    apart = new | np.append(True, comp[1:] != comp[:-1])
+    lead, sub = np.flatnonzero(new), np.flatnonzero(apart)
+    size = np.diff(np.append(sub, n))
+    first = np.searchsorted(sub, lead)  # a fingerprint's first component
+    subs = np.diff(np.append(first, len(sub)))
+    t, q = np.flatnonzero(tree[lead]), np.flatnonzero(probe[lead])
+    both = (tree & probe)[lead]
+    forest = BKForest(fp[lead[t]], group[lead[t]])
+    count, left_out = np.zeros(n, np.int64), False
+    found = [np.zeros((2, 0), np.int64)]
+    for p, node in forest.within(fp[lead[q]], group[lead[q]], radius):
+        a, b = q[p], t[node]
+        alone = (subs[a] == 1) & (subs[b] == 1) & (comp[lead[a]] == comp[lead[b]])
+        once = ~(both[a] & both[b]) | (a <= b)  # a shard's tree meets its own members, each pair twice
+        a, b = a[once & ~alone], b[once & ~alone]
+        for x, y in _products(first[a], subs[a], first[b], subs[b], step):
+            other = (comp[sub[x]] != comp[sub[y]]) & ((x < y) | (fp[sub[x]] != fp[sub[y]]))  # of one fingerprint, each pair once
+            x, y = x[other], y[other]
+            for v, u in _products(sub[x], size[x], sub[y], size[y], step):
+                keep = (_rank(v) + count[v] < most) | (_rank(u) + count[u] < most)
+                left_out |= not keep.all()
+                v, u = v[keep], u[keep]
+                count += np.bincount(v, minlength=n) + np.bincount(u, minlength=n)
+                found.append(np.stack([v, u]))
+    a, b = np.concatenate(found, axis=1)
+    return a, b, left_out
+
+
+def open_pairs(fps: DataFrame, radius: int = 3, shard: int = 20_000, most: int = 16) -> DataFrame:
+    """Distinct pairs (v, u) of rows within the radius and of two components; a row of nulls if some were left out.
+    fps: row, comp (the row's component), and all, an array of fingerprints."""
+    met = _met(fps.select("row", "comp", F.posexplode("all").alias("seed", "fp")), radius, shard)
+
+    def solve(table):
+        fp, row, comp = table.column("fp").to_numpy().view("uint64"), table.column("row").to_numpy(), table.column("comp").to_numpy()
+        a, b, left_out = open_matches(fp, comp, *_groups(table), radius, most)
+        v, u = row[a].tolist(), row[b].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(x + [None] * left_out, pa.int64()) for x in (v, u)], ["v", "u"])
+
+    found = met.mapInArrow(_by_group(solve, shard), "v bigint, u bigint")
+    return found.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
+
+
 def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
     """row, grams: the distinct hashes of a text's word shingles (fewer words: the whole sequence; none: none)."""
 
@@ -334,15 +407,8 @@ def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row bigint, grams array<bigint>")
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int = 8, radius: int = 3, shard: int = 20_000, pairs_a_task: int = 2_000) -> DataFrame:
-    """row, component: rows of docs (row, doc_id, text) that are near copies of others, with their group.
-
-    Fingerprints of two-word shingles, by several seeds, propose pairs (an edit changes fewer of them than of longer
-    ones, so more copies come within the radius), and a pair links only if the texts' distinct `width`-word shingles have
-    a Jaccard similarity of `least` or more. Rows without a link are left out; two texts without words are equal.
-    Candidate pairs grow with the rows, never with the square of a group."""
-    fps = fingerprints(docs, 2, carry=("row",), seeds=seeds).select("row", F.concat(F.array("fp"), "more").alias("all"))
-    pairs = materialise(candidates(materialise(fps, "near-fp"), radius, shard), "near-pairs")
+def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float, pairs_a_task: int) -> DataFrame:
+    """Those of the pairs (v, u) whose texts have a Jaccard similarity of `least` or more."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     grams = materialise(shingle_hashes(docs.join(asked, "row", "left_semi"), width), "near-grams")
     # A text with many copies meets them in as many tasks as they need.
@@ -352,9 +418,49 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int
     right = pairs.join(size, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("part"))
     right = right.join(grams.select(F.col("row").alias("v"), F.col("grams").alias("y")), "v")
     both = F.size(F.array_intersect("x", "y"))
-    alike = F.size("x") + F.size("y") - both
-    linked = left.join(right, ["u", "part"]).where((alike == 0) | (both >= F.lit(least) * alike)).select("u", "v")
-    return components(linked, "near").select(F.col("node").alias("row"), F.col("root").alias("component"))
+    union = F.size("x") + F.size("y") - both
+    found = materialise(left.join(right, ["u", "part"]).where((union == 0) | (both >= F.lit(least) * union)).select("u", "v"), "near-links")
+    forget(grams)
+    return found
+
+
+def near_copies(
+    docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int = 8, radius: int = 3, shard: int = 20_000, pairs_a_task: int = 2_000, most: int = 16
+) -> DataFrame:
+    """row, component: rows of docs (row, doc_id, text) that are near copies of others, with their group.
+
+    Fingerprints of two-word shingles, by several seeds, propose pairs (an edit changes fewer of them than of longer
+    ones, so more copies come within the radius), and a pair links only if the texts' distinct `width`-word shingles have
+    a Jaccard similarity of `least` or more. Rows without a link are left out; two texts without words are equal.
+
+    Each row first meets its two best candidates, which links most copies. Of the rows that have any, all further pairs
+    within the radius but not yet of one component are then compared, `most` for each row of a group in the first round
+    and eight times as many in each further one, until none is left. So no pair within the radius stays uncompared
+    unless its rows are linked already; the work grows with the square only of groups that are close but not alike."""
+    fps = fingerprints(docs, 2, carry=("row",), seeds=seeds).select("row", F.concat(F.array("fp"), "more").alias("all"))
+    fps = materialise(fps, "near-fp")
+    tried = materialise(candidates(fps, radius, shard), "near-pairs")
+    linked = alike(docs, tried, width, least, pairs_a_task)
+    comp = components(linked, "near")
+    # Each row within the radius of another has a candidate.
+    asked = tried.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    close = materialise(fps.join(asked, "row", "left_semi"), "near-close")
+    forget(fps)
+    while True:
+        of = close.join(comp.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("comp"), "all")
+        found = materialise(open_pairs(of, radius, shard, most), "near-open")
+        fresh = materialise(found.where("v is not null").join(tried, ["v", "u"], "left_anti"), "near-pairs")
+        done = found.where("v is null").isEmpty()
+        if not fresh.isEmpty():
+            more = alike(docs, fresh, width, least, pairs_a_task)
+            tried = tried.unionByName(fresh)
+            if not more.isEmpty():
+                linked = linked.unionByName(more)
+                comp = components(linked, "near")
+        if done:
+            break
+        most *= 8
+    return comp.select(F.col("node").alias("row"), F.col("root").alias("component"))
 
 
 def op3_simhash_bktree(spark, sf_dir: str) -> DataFrame:

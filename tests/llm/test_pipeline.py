@@ -1,7 +1,11 @@
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline as C
+from tessera.llm import simhash_dedup
 from tests.llm.test_text_operators import check_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +46,36 @@ def test_repeated_rows_and_odd_tables(spark, odd, none):
 
 def test_run(spark):
     assert C.run(spark, SF).count() > 200
+
+
+def test_copies_behind_other_texts_of_their_fingerprint(spark):
+    """Parts between equal words change places: the two-word shingles and so the fingerprints stay."""
+    text = lambda parts: " ".join(f"a q{i} r{i}" for i in parts) + " a"
+    rng = random.Random(3)
+    rows = [text(rng.sample(range(60), 60)) for _ in range(40)]
+    for i in (5, 20):
+        words = rows[i].split()
+        words[30:36] = words[33:36] + words[30:33]
+        rows.append(" ".join(words))
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "row bigint, doc_id bigint, text string")
+    assert frame.select("text").distinct().count() == 42
+    for most in (2, 16):
+        got = defaultdict(set)
+        for r in simhash_dedup.near_copies(frame, seeds=2, most=most).collect():
+            got[r.component].add(r.row)
+        assert sorted(map(sorted, got.values())) == [[5, 40], [20, 41]]
+
+
+def test_open_matches_are_all_pairs_of_two_components():
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 64, 300).astype(np.uint64)
+    comp, group = rng.integers(0, 12, 300), rng.integers(0, 3, 300)
+    order = np.lexsort((comp, fp, group))
+    fp, comp, group = fp[order], comp[order], group[order]
+    yes = np.ones(300, bool)
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :]) > 2
+    want = {(a, b) for a, b in zip(*np.nonzero(~far & (group[:, None] == group) & (comp[:, None] != comp)), strict=True) if a < b}
+    a, b, left_out = simhash_dedup.open_matches(fp, comp, group, yes, yes, 2, 1000, step=500)
+    assert not left_out and len(a) == len(want) and {(min(x), max(x)) for x in zip(a, b, strict=True)} == want
+    a, b, left_out = simhash_dedup.open_matches(fp, comp, group, yes, yes, 2, 3, step=500)
+    assert left_out and len(a) <= 2 * 3 * 300 and {x for p in want for x in p} == {*a, *b}
