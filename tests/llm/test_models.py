@@ -49,6 +49,19 @@ def test_ann_recall_and_scores(spark):
     assert additive_ann.search(frame.where("vec_id in (1000, 1100)"), frame.where("vec_id % 100 = 0")).count() == 0
 
 
+def test_repeated_candidates_leave_room_for_others(spark):
+    rng = np.random.default_rng(6)
+    near = [(1, [1.0, 0.0, 0.0, 0.001 * i]) for i in range(400)]  # one id, many vectors
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + near + [(2, [1.0, 0.1, 0.0, 0.0])] * 30 + [(3 + i, rng.normal(size=4).tolist()) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = [(r.vec_id, r.score) for r in additive_ann.search(frame, frame.where("vec_id = 0")).orderBy("rank").collect()]
+    q, least = np.array(rows[0][1]), {}
+    for i, v in rows[1:]:
+        least[i] = min(least.get(i, math.inf), float(np.sqrt(((np.array(v) - q) ** 2).sum())))
+    want = sorted(least.items(), key=lambda x: (x[1], x[0]))[:10]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([d for _, d in got], [d for _, d in want])
+
+
 def test_beam_search_beats_greedy_encoding():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16)).astype(np.float32)
