@@ -1,14 +1,17 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the UTF-8 bytes: each byte adds its gear value to the hash shifted by two bits,
-modulo 2**32, so the hash knows the last 16 bytes only. A chunk ends where the hash's top bits are zero - about every
-`average` bytes - unless another such place lies within the `least` bytes before; longer gaps are cut every
-`most` bytes. Boundaries depend on what stands just before them, so an insertion moves only the chunks it
-touches. Chunks are deduplicated by 64-bit digest over the whole corpus (a passage is several chunks, so a
-chance collision makes none); runs of adjacent chunks that other documents also hold are the repeated
-passages, reported where they have at least `words` words. A passage loses less than two chunks at its ends,
-so the default of 20 words finds those of over 50. A filter of fixed size over the repeated digests keeps
-most chunks out of the join with them.
+modulo 2**32, so the hash knows the last 16 bytes only. Of every `window` words in a row, the start with the least
+hash before it (the last of equals) is a boundary, so boundaries are at most `window` words apart, whatever the text,
+and depend on nearby words only: an insertion moves only the chunks it touches. Each chunk is looked up together
+with the next one, by the 64-bit digest of both over the whole corpus; runs of such pairs that other documents also
+hold are the repeated passages, reported where they have at least `words` words.
+
+A passage that stands in two documents has 16 bytes (8 words at most) and the windows across its ends in which the
+documents may choose otherwise: with windows of 6 words, under 18 words are lost before the first common boundary
+and under 12 after the last, so 20 words finds all passages of over 50, also those of short or repeated words.
+A filter of fixed size over the repeated digests keeps most chunks out of the join with them. boundaries() is the
+same hash's rule for bytes, which no query uses.
 
 Edge cases: null and empty texts have no chunks; documents are told apart by doc_id, so repeated rows of one
 id are one document and repeat nothing by themselves; null ids are one document; an empty table gives an
@@ -26,7 +29,7 @@ from pyspark.sql import Window as W
 
 from tessera.llm.common import materialise, partitions, slices
 
-AVERAGE, LEAST, MOST, WORDS, FILTER_BITS = 32, 12, 512, 20, 26
+AVERAGE, LEAST, MOST, WINDOW, WORDS, FILTER_BITS = 32, 12, 512, 6, 20, 26
 
 
 def gear_table():
@@ -39,12 +42,10 @@ def gear_table():
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
-def boundaries(data: bytes, average: int = AVERAGE, least: int = LEAST, most: int = MOST):
-    """Ends of the chunks of one text, the last of them its length."""
+def gear_hashes(data: bytes):
+    """The gear hash after each byte."""
     import numpy as np
 
-    if not data:
-        return np.zeros(0, np.int64)
     h = gear_table()[np.frombuffer(data, np.uint8)]
     for step in (1, 2, 4, 8):  # doubling: after these, h sums the last 16 bytes' gears by age
         if len(h) <= step:
@@ -52,6 +53,30 @@ def boundaries(data: bytes, average: int = AVERAGE, least: int = LEAST, most: in
         older = h[:-step] << np.uint32(2 * step)
         h = h.copy()
         h[step:] += older
+    return h
+
+
+def word_boundaries(data: bytes, starts, window: int = WINDOW):
+    """Ends of the chunks of one text whose words have these starts, the last of them its length."""
+    import numpy as np
+
+    if not data:
+        return np.zeros(0, np.int64)
+    at = starts[starts > 0]
+    if len(at) < window:
+        return np.array([len(data)])
+    seen = np.lib.stride_tricks.sliding_window_view(gear_hashes(data)[at - 1], window)
+    pick = np.arange(len(seen)) + window - 1 - seen[:, ::-1].argmin(1)
+    return np.append(at[np.unique(pick)], len(data))
+
+
+def boundaries(data: bytes, average: int = AVERAGE, least: int = LEAST, most: int = MOST):
+    """Ends of the chunks of one text, the last of them its length."""
+    import numpy as np
+
+    if not data:
+        return np.zeros(0, np.int64)
+    h = gear_hashes(data)
     bits = average.bit_length() - 1
     ends = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
     ends = ends[np.diff(ends, prepend=-least) >= least]  # locally decided: any candidate just before suppresses one
@@ -65,8 +90,9 @@ def boundaries(data: bytes, average: int = AVERAGE, least: int = LEAST, most: in
     return ends
 
 
-def chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, pos, start, length (bytes), words (starts of words) and digest of all chunks of all texts."""
+def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, pos, start, length (bytes), words (starts of words), own (those of the first), parts (their number) and
+    digest of all pairs of adjacent chunks of all texts; a text of one chunk has that alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b as hash_of
@@ -75,37 +101,45 @@ def chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, most: in
 
         blank = np.zeros(256, bool)
         blank[[32, *range(9, 14)]] = True
-        names = ["doc_id", "pos", "start", "length", "words", "digest"]
+        names = ["doc_id", "pos", "start", "length", "words", "own", "parts", "digest"]
         for batch in slices(batches, "text"):
-            doc, pos, start, length, words, digest = [], [], [], [], [], []
+            doc, pos, start, length, words, own, parts, digest = [], [], [], [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 data = (t or "").encode("utf-8", "surrogatepass")
-                ends = boundaries(data, average, least, most)
+                space = blank[np.frombuffer(data, np.uint8)]
+                first = ~space & np.append(True, space[:-1])[: len(data)]
+                ends = word_boundaries(data, np.flatnonzero(first), window)
                 if not len(ends):
                     continue
                 begins = np.append(0, ends[:-1])
-                space = blank[np.frombuffer(data, np.uint8)]
-                first = ~space & np.append(True, space[:-1])
+                count = np.add.reduceat(first, begins, dtype=np.int64)
+                if len(ends) > 1:
+                    begins, ends, single, count = begins[:-1], ends[1:], count[:-1], count[:-1] + count[1:]
+                    parts.append(np.full(len(ends), 2))
+                else:
+                    single = count
+                    parts.append(np.ones(1))
                 doc.append(np.full(len(ends), i))
                 pos.append(np.arange(len(ends)))
                 start.append(begins)
                 length.append(ends - begins)
-                words.append(np.add.reduceat(first, begins))
+                words.append(count)
+                own.append(single)
                 digest += [hash_of(data[a:b], digest_size=8).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
             if doc:
                 cols = [batch.column(0).take(pa.array(np.concatenate(doc)))]
-                cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, start, length, words)]
+                cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, start, length, words, own, parts)]
                 cols.append(pa.array(np.frombuffer(b"".join(digest), np.int64)))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, start int, length int, words int, digest bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, start int, length int, words int, own int, parts int, digest bigint")
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS, **sizes) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), chunks, words, first_doc_id (the least that holds its first
     chunk), first (whether that is this document) and digest: passages that other documents hold as well."""
-    every = materialise(chunks(docs, **sizes), "cdc-chunks")
+    every = materialise(chunks(docs, window), "cdc-chunks")
     known = every.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("ids"), F.count("*").alias("n"))
     # In more than one document; null ids are one more.
     known = materialise(known.where("low < high or (ids > 0 and ids < n)").select("digest", "low"), "cdc-known")
@@ -114,14 +148,14 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, **sizes) -> DataFrame
     tested = every.withColumns({"block": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(seen), "block")
     word = F.conv(F.hex(F.expr("substring(bitmap, int(at div 8) + 1, 1)")), 16, 10).cast("int")
     maybe = tested.where(word.bitwiseAND(F.expr("shiftleft(1, int(at % 8))")) != 0).select(*every.columns)
-    held = maybe.join(known, "digest").select("doc_id", "pos", "start", "length", "words", "digest", "low")
+    held = maybe.join(known, "digest").select("doc_id", "pos", "start", "length", "words", "own", "parts", "digest", "low")
     held = held.repartition(partitions(docs.sparkSession), "doc_id").dropDuplicates(["doc_id", "pos"])
     island = held.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
     found = island.groupBy("doc_id", "run").agg(
         F.min("start").cast("long").alias("start"),
         F.max(F.col("start") + F.col("length")).cast("long").alias("end"),
-        F.count("*").alias("chunks"),
-        F.sum("words").alias("words"),
+        (F.count("*") + F.max("parts") - 1).alias("chunks"),
+        (F.sum("own") + F.max_by(F.col("words") - F.col("own"), "pos")).alias("words"),
         F.min_by("low", "pos").alias("first_doc_id"),
         F.lpad(F.lower(F.hex(F.min_by("digest", "pos"))), 16, "0").alias("digest"),
     )

@@ -198,6 +198,20 @@ def test_repeated_passages(spark, docs, odd, none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
 
+def test_every_passage_of_over_fifty_words_is_found(spark):
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    text = lambda n, k=9: " ".join(word(rng.randint(1, k)) for _ in range(n))
+    shared = [text(51, 1) for _ in range(60)] + [text(51) for _ in range(200)] + [" ".join([text(n)] * 60) for n in (1, 1, 2, 2, 3, 7)]
+    rows = [(2 * i + j, f"{text(rng.randint(5, 90))} {s} {text(rng.randint(5, 90))}") for i, s in enumerate(shared) for j in (0, 1)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    by = dict(rows)
+    assert {r.doc_id for r in found} == set(by)
+    for r in found:
+        assert r.words >= 20 and by[r.doc_id].encode()[r.start : r.end].decode().split() == by[r.doc_id][r.start : r.end].split()
+        assert len(by[r.doc_id][r.start : r.end].split()) == r.words
+
+
 # ---- licences
 
 
