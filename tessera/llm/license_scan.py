@@ -4,7 +4,7 @@ A logistic regression over sparse word n-grams (one to three words) tells licenc
 apart. It is trained in numpy when the scan is planned, on seeded variations of the templates below and of
 near misses, never on the data; its temperature is fitted on variations kept aside, so the unknown class is
 calibrated. An n-gram counts only if it holds a salient word, so paragraphs (lines) without salient words
-are unknown by the model itself and need no scoring. The others' n-grams meet the weights - a table of fixed
+are unknown by the model itself and need scoring only if they speak of licences. The others' n-grams meet the weights - a table of fixed
 size - in a broadcast join, sums give the softmax, and the share of the best template's three-word shingles
 that the paragraph contains confirms the prediction.
 
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
     model = model or LicenceModel()
     classes = model.classes
     weights = spark.createDataFrame(
-        [(g, [float(w) for w in model.weights[i]]) for g, i in model.at.items()], "gram string, w array<double>"
+        [("", [0.0] * len(classes)), *[(g, [float(w) for w in model.weights[i]]) for g, i in model.at.items()]], "gram string, w array<double>"
     )
     templates = [(f, i, s, len(shingles(words(t)))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for s in sorted(shingles(words(t)))]
     templates = spark.createDataFrame(templates, "family string, template int, gram string, size int")
@@ -195,11 +195,13 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
     lines = lines.withColumn("low", F.lower("line"))
     # Every n-gram of the model holds a salient word: without one, the line's logits are the biases alone.
     salient = r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model.salient) + r")(?![a-z0-9])"
-    lines = lines.where(F.col("low").rlike(salient)).withColumn("ws", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     speaks = F.col("low").rlike(r"licen[sc]e|copyright|rights reserved|public domain")
+    lines = lines.where(F.col("low").rlike(salient) | speaks).withColumn("ws", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     grams = F.array_distinct(F.concat(*[_grams(n, F.col("ws")) for n in SIZES]))
     few = F.when(F.size("ws") < 3, F.array(F.array_join("ws", " "))).otherwise(F.array().cast("array<string>"))
-    each = lines.select("_row", "doc_id", "paragraph", speaks.alias("speaks"), F.explode(F.array_distinct(F.concat(grams, few))).alias("gram"))
+    # The empty n-gram weighs nothing: lines that speak of licences but hold no known n-gram get the biases.
+    some = F.when(speaks, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    each = lines.select("_row", "doc_id", "paragraph", speaks.alias("speaks"), F.explode(F.array_distinct(F.concat(grams, few, some))).alias("gram"))
 
     # Weights and templates have fixed sizes, set by the module.
     scored = each.join(F.broadcast(weights), "gram").groupBy("_row", "doc_id", "paragraph", "speaks")

@@ -233,6 +233,15 @@ def test_licence_model_agrees_with_the_plan(spark):
     assert got[0].family == "mit" and got[0].confirmed and got[1].family == "apache-2.0" and got[2].family == license_scan.UNKNOWN
 
 
+def test_unknown_lines_that_speak_of_licences(spark):
+    model = license_scan.LicenceModel()
+    lines = ["Licence: EUPL-1.2", "sublicence", "copyrighted stuff", "nothing to see"]
+    got = {r.paragraph: r for r in license_scan.scan(spark.createDataFrame([(7, "\n".join(lines))], "doc_id bigint, text string"), model).collect()}
+    assert set(got) == {0, 1, 2}
+    for i, r in got.items():
+        assert r.family == license_scan.UNKNOWN and not r.confirmed and abs(r.probability - model.predict(lines[i]).max()) < 1e-6
+
+
 def test_licences_of_the_documents(spark, docs, odd, none):
     said = re.compile(r"License|All rights reserved|CC BY")
     want = Counter(r.doc_id for r in docs.collect() for line in r.text.split("\n") if said.search(line))
