@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import materialise
+from tessera.llm.common import free_name, materialise
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -148,14 +148,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, with the taken words as text (whole passes, then the further words)
     and n_chars, where there is one, counted anew. Rows of which nothing is taken go."""
-    held = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = mix_rows(held.select(F.col("_row").alias("doc_id"), "source", "text"), **options)
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("_row"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = lambda s: F.array_join(F.slice(F.col("_words"), (s["first"] + 1).cast("int"), s["n"].cast("int")), "")
-    x = held.join(plan, "_row").withColumn("_words", F.when(F.size("_spans") > 0, words))
-    parts = F.concat(F.array_repeat(F.col("text"), F.col("_passes").cast("int")), F.coalesce(F.transform("_spans", cut), F.array().cast("array<string>")))
-    x = x.withColumn("text", F.array_join(parts, "\n"))
+    key, passes, spans = (free_name(docs.columns, c) for c in ("_row", "_passes", "_spans"))
+    held = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
+    plan = mix_rows(held.select(F.col(key).alias("doc_id"), "source", "text"), **options)
+    plan = plan.where("taken > 0").select(F.col("doc_id").alias(key), F.col("passes").alias(passes), F.col("spans").alias(spans))
+    words = F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
+    cut = lambda w, s: F.array_join(F.slice(w, (s["first"] + 1).cast("int"), s["n"].cast("int")), "")
+    # The words are a lambda's variable, so they are found once a row and not once a span.
+    cuts = F.element_at(F.transform(F.array(words), lambda w: F.transform(F.col(spans), lambda s: cut(w, s))), 1)
+    parts = F.concat(F.array_repeat(F.col("text"), F.col(passes).cast("int")), F.coalesce(F.when(F.size(spans) > 0, cuts), F.array().cast("array<string>")))
+    x = held.join(plan, key).withColumn("text", F.array_join(parts, "\n"))
     if "n_chars" in docs.columns:
         x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return x.select(*docs.columns)
