@@ -4,8 +4,8 @@ Texts are cut into windows of `window` bytes. Filters of widths 2, 3 and 4 over
 over the window and feed a softmax; a document's distribution is the byte-weighted mean over all its
 windows. For inference the filters become tables over byte pairs, so a filter bank costs one or two gathers.
 
-Training rows are bounded: `sample` documents (least hashes of their id) of those with a language outside
-the held-out fold, with `windows` seeded windows each; the bounds are parameters. Everything else covers all
+Training rows are bounded: `sample` documents (least hashes of their id, as many of each language) of those with a
+language outside the held-out fold, with `windows` seeded windows each; the bounds are parameters. Everything else covers all
 rows and whole texts.
 
 Edge cases: null text or a text without letters: `und`, score 0; no training rows: `und` everywhere; repeated
@@ -17,8 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import crc_fold, slices
 
@@ -162,12 +164,19 @@ def train(docs: DataFrame, sample: int = 4000, windows: int = 2, chars: int = 24
     mine = docs.where((crc_fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
     h = F.xxhash64("doc_id", "n")
     keyed = mine.select("doc_id", "lang", "text", F.length("text").alias("n")).withColumn("h", h)
-    least = keyed.select("h").orderBy("h").limit(sample).collect()
-    if not least:
+    # As many of each language, so that rare ones are known too. A language's hashes spread evenly, so those below a
+    # share of it that holds four times as many come first to the window, whatever its size.
+    sizes = mine.groupBy("lang").agg(F.count("*").alias("all"))
+    languages = sizes.count()
+    if not languages:
         return None
-    start = lambda i: F.pmod(F.xxhash64("h", i), F.greatest(F.col("n") - chars, F.lit(1))).cast("int") + 1
-    cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(F.col("text"), start(i), F.lit(chars)))
-    rows = keyed.where(F.col("h") <= least[-1].h).select("h", "lang", cut.alias("cut")).orderBy("h", "lang").limit(sample).collect()
+    each = max(1, sample // languages)
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "doc_id"))
+    low = keyed.select("h", "lang", "doc_id").join(F.broadcast(sizes.orderBy("lang").limit(sample)), "lang").where(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) * F.col("all") <= 4 * each + 16)
+    least = low.withColumn("nth", nth).where(F.col("nth") <= each).groupBy("lang").agg(F.max(F.shiftrightunsigned("h", 1)).alias("last"))
+    # One row a language, `sample` of them at most, so broadcast; repeated rows share a hash and would add to the sample.
+    rows = keyed.join(F.broadcast(least.orderBy("lang").limit(sample)), "lang").where(F.shiftrightunsigned("h", 1) <= F.col("last")).dropDuplicates(["h", "lang"])
+    rows = rows.select("h", "lang", cut.alias("cut")).orderBy("h", "lang").limit(sample).collect()
     labels = sorted({r.lang for r in rows})
     model = ByteCNN(labels, window=window)
     rng = np.random.default_rng(11)
@@ -197,20 +206,25 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; with no model all rows with letters stay."""
+def recognised(docs: DataFrame, model: ByteCNN | None, least: float = 0.35) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a score of `least` or more (little above chance,
+    which is a quarter for four languages, so that clean texts stay); a null lang becomes the one predicted. With no
+    model all rows with letters stay as they are."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(names.index("text")).to_pylist()
             if model:
-                keep = [x != "und" for x in model.predict(texts)[0]]
+                found, scores = model.predict(texts)
+                keep = [name != "und" and score >= least for name, score in zip(found, scores, strict=True)]
+                if "lang" in names and pa.types.is_string(batch.column(i := names.index("lang")).type):
+                    batch = batch.set_column(i, "lang", pc.coalesce(batch.column(i), pa.array(found, pa.string())))
             else:
                 keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
