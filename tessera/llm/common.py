@@ -17,9 +17,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local
+    mode (tests), and an error on a cluster, whose machines share no such folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -70,6 +73,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows joined with table, which has one row a key and in `n` the key's rows among the `total` of rows.
+
+    Keys with over a 4p-th of all rows, for p partitions, are fewer than 4p, whatever the data: those are broadcast, so
+    none of them falls to one task. rows is read twice and should be a table."""
+    least = max(64, total // (4 * partitions(rows.sparkSession)))
+    hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def crc_fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
@@ -104,17 +128,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not now.isEmpty():
         salt = F.lit(len(levels))
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("v"))).alias("m"))
+        near = both.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", salt).alias("h"), F.col("v").alias("v"))).alias("m"), F.count("*").alias("n"))
         hook = near.select(
             F.col("u").alias("node"),
             F.when(F.col("m.h") < F.xxhash64("u", salt), F.col("m.v")).otherwise(F.col("u")).alias("root"),
+            "n",
         )
-        hook = materialise(hook, f"{name}-hook")
-        left = now.join(hook.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u")
-        both = left.join(hook.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
+        full = materialise(hook, f"{name}-hook")
+        hook, total = full.select("node", "root"), now.count()
+        left = materialise(hot_join(now, full.select(F.col("node").alias("u"), F.col("root").alias("ru"), "n"), "u", total).drop("n"), f"{name}-half")
+        both = hot_join(left, full.select(F.col("node").alias("v"), F.col("root").alias("rv"), "n"), "v", total)
         after = both.where("ru <> rv").selectExpr("least(ru, rv) u", "greatest(ru, rv) v").distinct()
         after = materialise(after, f"{name}-edges")
         forget(now)
+        forget(left)
         levels.append(hook)
         now = after
     if not levels:

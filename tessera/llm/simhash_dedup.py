@@ -7,8 +7,8 @@ one shard meets the members of the other, so memory is bounded and no link is lo
 (children keyed by integer Hamming distance to the parent) is built and probed level by level in numpy,
 following only edges within the radius; the trees travel with the shuffle to their probes instead of a
 broadcast, as their number grows with the data. A shard gives its links as a spanning star of each local
-component, never as all pairs. Components over all shards come from common.components. near_copies proposes
-pairs by fingerprints of several seeds and links those whose word shingles are alike.
+component, never as all pairs. Components over all shards come from common.components. near_copies clusters texts by
+fingerprints of several seeds and links those of a cluster whose word shingles are alike.
 
 Edge cases: null text counts as empty; no words: fingerprint zero, linked like any other; fewer words than
 the shingle: the whole sequence is the one shingle; null ids take part and count as larger than all others;
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import components, forget, materialise, partitions, slices
+from tessera.llm.common import components, forget, hot_join, materialise, partitions, slices
 
 
 def fingerprints_of(text: str | None, width: int = 3, seeds: int = 1) -> list[int]:
@@ -157,7 +157,7 @@ def _union(root, a, b) -> None:
 
 
 def link_groups(fp, group, tree, probe, radius: int):
-    """Spanning stars (u, v) of the fingerprints linked within each group.
+    """Spanning stars (u, v), as positions, of the fingerprints linked within each group.
 
     fp: uint64; group: int64; tree, probe: which rows are in the group's tree, and which are looked up."""
     import numpy as np
@@ -168,7 +168,7 @@ def link_groups(fp, group, tree, probe, radius: int):
     for p, node in forest.within(fp[q], group[q], radius):
         _union(root, q[p], t[node])
     v = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[root[v]], fp[v]
+    return root[v], v
 
 
 def _met(fps: DataFrame, radius: int, shard: int) -> DataFrame:
@@ -205,261 +205,249 @@ def _groups(table):
     return np.cumsum(new), own == key[2], own == key[3]
 
 
-def _by_group(solve, shard: int):
-    """A mapInArrow function that gives `solve` tables of whole groups, of about two shards at least."""
+def _by_group(solve, most: int, key: tuple[str, ...] = ("block", "part", "i", "j"), weight: str | None = None):
+    """A mapInArrow function that gives `solve` tables of whole groups, of about `most` rows (or sum of `weight`) or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        size = lambda t: int(np.sum(t.column(weight).to_numpy())) if weight else t.num_rows
         held: list[pa.RecordBatch] = []
         count = 0
         for b in batches:
             held.append(b)
-            count += b.num_rows
-            if count >= 2 * shard:
+            count += size(b)
+            if count >= most:
                 table = pa.Table.from_batches(held)
-                key = [table.column(c).to_numpy() for c in ("block", "part", "i", "j")]
-                same = np.all([k == k[-1] for k in key], axis=0)
+                keys = [table.column(c).to_numpy() for c in key]
+                same = np.all([k == k[-1] for k in keys], axis=0)
                 cut = int(np.argmax(same))  # where the last, perhaps unfinished, group begins
                 if cut:
                     yield solve(table.slice(0, cut))
-                    held, count = table.slice(cut).to_batches(), table.num_rows - cut
-        if count:
+                    rest = table.slice(cut)
+                    held, count = rest.to_batches(), size(rest)
+        if count or held:
             yield solve(pa.Table.from_batches(held))
 
     return run
 
 
 def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that connect all within the radius."""
+    """Edges (u, v) that connect all fingerprints (column fp, distinct by column seed, if there is one) within the radius:
+    between the fingerprints, or the values of column `row` where there is one."""
+    name = "row" if "row" in fps.columns else "fp"
 
     def solve(table):
-        import numpy as np
-
-        fp = table.column("fp").to_numpy().view(np.uint64)
+        fp, of = table.column("fp").to_numpy().view("uint64"), table.column(name).to_numpy()
         u, v = link_groups(fp, *_groups(table), radius)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(of[u]), pa.array(of[v])], ["u", "v"])
 
-    return _met(fps.select("fp"), radius, shard).mapInArrow(_by_group(solve, shard), "u bigint, v bigint")
+    return _met(fps, radius, shard).mapInArrow(_by_group(solve, 2 * shard), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard: int = 20_000) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) and linked (whether the fingerprint has links); one
     row for each row of docs."""
     fps = materialise(fingerprints(docs, width).drop("more"), "simhash-fp")
-    least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
+    least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-least")
     comp = components(links(least.select("fp"), radius, shard), "simhash")
     roots = comp.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of = comp.join(roots, "root").select(F.col("node").alias("fp"), "root", "component_id")
     of = least.join(of, "fp", "left").select(
         "fp",
+        "n",
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("root").isNotNull().alias("linked"),
     )
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "linked")
-
+    return hot_join(fps, of, "fp", fps.count()).select("doc_id", "fp", "component_id", "linked")
 
-def best_matches(fp, group, tree, probe, radius: int):
-    """Rows (v, u, d, degree): each item's nearest match in its group, and its match that has most matches.
 
-    Copies of one text all match that text, so the busiest match leads to it where copies differ from each other.
-    Equal fingerprints of a group stand next to each other; the first is matched, the others match it at 0."""
-    import numpy as np
-
-    same = np.zeros(len(fp), bool)
-    same[1:] = (fp[1:] == fp[:-1]) & (group[1:] == group[:-1])
-    lead = np.flatnonzero(~same)
-    first = lead[np.cumsum(~same) - 1]
-    t, q = lead[tree[lead]], lead[probe[lead]]
-    forest = BKForest(fp[t], group[t])
-    n = len(fp)
-    degree = np.zeros(n, np.int64)
-    none = np.iinfo(np.int64).max
-    near, busy = np.full(n, none), np.full(n, none)
-    for count in (True, False):
-        for p, node in forest.within(fp[q], group[q], radius):
-            a, b = q[p], t[node]
-            a, b = a[a != b], b[a != b]
-            if count:
-                degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-                continue
-            d = _popcount(fp[a] ^ fp[b])
-            for v, u in ((a, b), (b, a)):
-                np.minimum.at(near, v, d * n + u)
-                np.minimum.at(busy, v, (2 * n - degree[u]) * n + u)
-    has = np.flatnonzero(near < none)
-    copies = np.flatnonzero(same)
-    v = np.concatenate([has, has, copies])
-    u = np.concatenate([near[has] % n, busy[has] % n, first[copies]])
-    return v, u, _popcount(fp[v] ^ fp[u]), degree[u]
-
-
-def candidates(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
-    """Pairs (v, u) of rows worth comparing, at most two for each v: the match that most fingerprints and blocks name as
-    v's nearest or busiest, and the busiest. fps: row, and all, an array of fingerprints."""
-    met = _met(fps.select("row", F.posexplode("all").alias("seed", "fp")), radius, shard)
+def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
+    """row, cluster, grams (the distinct hashes of a text's word shingles, sorted; fewer words: the whole sequence; none:
+    none) and n, their number and one more."""
 
-    def solve(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import xxhash
 
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        v, u, d, degree = best_matches(fp, *_groups(table), radius)
-        row = table.column("row").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row[v], row[u], d, degree)], ["v", "u", "d", "degree"])
-
-    found = met.mapInArrow(_by_group(solve, shard), "v bigint, u bigint, d bigint, degree bigint")
-    found = found.groupBy("v", "u").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.max("degree").alias("degree"))
-    best = found.groupBy("v").agg(
-        F.max_by("u", F.struct("n", -F.col("d"), -F.col("u"))).alias("a"), F.max_by("u", F.struct("degree", "n", -F.col("u"))).alias("b")
-    )
-    pairs = best.select("v", F.explode(F.array_distinct(F.array("a", "b"))).alias("u"))
-    return pairs.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
-
-
-def _rank(x):
-    """How many equal items stand before each item."""
-    import numpy as np
-
-    order = np.argsort(x, kind="stable")
-    new = np.append(True, np.diff(x[order]) != 0)
-    out = np.empty(len(x), np.int64)
-    out[order] = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return out
-
+        for batch in slices(batches, "text"):
+            grams = []
+            for text in batch.column(2):
+                w = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                n = max(1, len(w) - width + 1) if w else 0
+                grams.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(n)), np.uint64, n)).view(np.int64))
+            size = pa.array([len(g) + 1 for g in grams], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.list_(pa.int64())), size], ["row", "cluster", "grams", "n"])
 
-def _products(first, n, second, m, step: int) -> Iterator[tuple]:
-    """All pairs of the ranges first[i], n[i] long, with the ranges second[i], m[i] long, about `step` at a time."""
-    import numpy as np
+    return docs.select("row", "cluster", "text").mapInArrow(run, "row bigint, cluster bigint, grams array<bigint>, n bigint")
 
-    ends = np.cumsum(n * m)
-    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
-        k = np.arange(at, min(at + step, int(ends[-1])))
-        i = np.searchsorted(ends, k, "right")
-        k = k - (ends[i] - n[i] * m[i])
-        yield first[i] + k // m[i], second[i] + k % m[i]
 
+def alike_sets(grams, size, comp, tree, probe, least: float, step: int = 1 << 22):
+    """Stars (u, v), as positions, that join the components of sets with a Jaccard similarity of `least` or more.
 
-def open_matches(fp, comp, group, tree, probe, radius: int, most: int, step: int = 1 << 20):
-    """Pairs (a, b) of rows of a group within the radius and of two components, and whether any were left out: of each
-    row at least `most`, if it has so many. Rows stand by group, fingerprint and component."""
+    grams: all sets' items in a row, size: of each set; comp: each set's component so far; tree, probe: pairs of a
+    probe with one in the tree count. Exact: two such sets share one of the first size - ceil(least * size) + 1 items
+    of each, by any common order; the rarest come first, so texts that are not alike seldom meet. Sets of one
+    component are not compared, so a group of copies costs about a comparison each."""
     import numpy as np
 
-    n = len(fp)
-    new = np.append(True, (fp[1:] != fp[:-1]) | (group[1:] != group[:-1]))
-    apart = new | np.append(True, comp[1:] != comp[:-1])
-    lead, sub = np.flatnonzero(new), np.flatnonzero(apart)
-    size = np.diff(np.append(sub, n))
-    first = np.searchsorted(sub, lead)  # a fingerprint's first component
-    subs = np.diff(np.append(first, len(sub)))
-    t, q = np.flatnonzero(tree[lead]), np.flatnonzero(probe[lead])
-    both = (tree & probe)[lead]
-    forest = BKForest(fp[lead[t]], group[lead[t]])
-    count, left_out = np.zeros(n, np.int64), False
-    found = [np.zeros((2, 0), np.int64)]
-    for p, node in forest.within(fp[lead[q]], group[lead[q]], radius):
-        a, b = q[p], t[node]
-        alone = (subs[a] == 1) & (subs[b] == 1) & (comp[lead[a]] == comp[lead[b]])
-        once = ~(both[a] & both[b]) | (a <= b)  # a shard's tree meets its own members, each pair twice
-        a, b = a[once & ~alone], b[once & ~alone]
-        for x, y in _products(first[a], subs[a], first[b], subs[b], step):
-            other = (comp[sub[x]] != comp[sub[y]]) & ((x < y) | (fp[sub[x]] != fp[sub[y]]))  # of one fingerprint, each pair once
-            x, y = x[other], y[other]
-            for v, u in _products(sub[x], size[x], sub[y], size[y], step):
-                keep = (_rank(v) + count[v] < most) | (_rank(u) + count[u] < most)
-                left_out |= not keep.all()
-                v, u = v[keep], u[keep]
-                count += np.bincount(v, minlength=n) + np.bincount(u, minlength=n)
-                found.append(np.stack([v, u]))
-    a, b = np.concatenate(found, axis=1)
-    return a, b, left_out
-
-
-def open_pairs(fps: DataFrame, radius: int = 3, shard: int = 20_000, most: int = 16) -> DataFrame:
-    """Distinct pairs (v, u) of rows within the radius and of two components; a row of nulls if some were left out.
-    fps: row, comp (the row's component), and all, an array of fingerprints."""
-    met = _met(fps.select("row", "comp", F.posexplode("all").alias("seed", "fp")), radius, shard)
+    total = len(size)
+    _, root, inverse = np.unique(comp, return_index=True, return_inverse=True)
+    root = root[inverse]
+    begin = root.copy()
+    none = np.flatnonzero(size == 0)
+    if len(none) > 1:  # texts without words are equal
+        root[np.isin(root, root[none])] = root[none].min()
+    item = np.repeat(np.arange(total), size)
+    _, code, df = np.unique(grams, return_inverse=True, return_counts=True)
+    place = np.empty(len(df), np.int64)
+    place[np.argsort(df, kind="stable")] = np.arange(len(df))
+    rank = place[code]
+    order = np.lexsort((rank, item))
+    ends = np.cumsum(size)
+    starts = ends - size
+    nth = np.arange(len(order)) - np.repeat(starts, size)
+    prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    use = (nth < prefix[item]) & (df[code[order]] > 1)
+    word, holder = rank[order][use], item[use]
+    held = np.cumsum(use)
+    upto = np.where(size > 0, held[np.maximum(ends - 1, 0)], 0) if len(held) else np.zeros(total, np.int64)
+    upto = np.maximum.accumulate(upto) if total else upto
+    in_tree = tree[holder]
+    by_word = np.lexsort((holder[in_tree], word[in_tree]))
+    post, key = holder[in_tree][by_word], word[in_tree][by_word]
+    both = tree & probe
+    left = len(np.unique(root))
+    mark = np.zeros(len(df), bool)
+    for a in np.flatnonzero(probe):
+        if left == 1:
+            break
+        mine = word[(upto[a - 1] if a else 0) : upto[a]]
+        if not len(mine):
+            continue
+        lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+        found = np.unique(np.concatenate([post[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
+        found = found[(root[found] != root[a]) & ~(both[found] & both[a] & (found < a))]
+        found = found[np.minimum(size[found], size[a]) >= least * np.maximum(size[found], size[a]) - 1e-9]
+        while len(found):
+            some = found[: max(1, int(np.searchsorted(np.cumsum(size[found]), step)))]
+            found = found[len(some) :]
+            n = size[some]
+            at = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            mark[code[starts[a] : ends[a]]] = True
+            shared = np.add.reduceat(mark[code[at]], np.cumsum(n) - n, dtype=np.int64)
+            mark[code[starts[a] : ends[a]]] = False
+            for b in some[shared >= least * (n + size[a] - shared) - 1e-9]:
+                if root[a] != root[b]:
+                    x, y = sorted((root[a], root[b]))
+                    root[root == y] = x
+                    left -= 1
+            found = found[root[found] != root[a]]
+    v = np.flatnonzero((root != begin) & (begin == np.arange(total)))
+    return root[v], v
+
+
+def _alike(dealt: DataFrame, key: tuple[str, ...], least: float, budget: int) -> DataFrame:
+    """Edges (u, v) of the groups of dealt: key columns, row, grams, n, comp, tree, probe."""
 
     def solve(table):
-        fp, row, comp = table.column("fp").to_numpy().view("uint64"), table.column("row").to_numpy(), table.column("comp").to_numpy()
-        a, b, left_out = open_matches(fp, comp, *_groups(table), radius, most)
-        v, u = row[a].tolist(), row[b].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(x + [None] * left_out, pa.int64()) for x in (v, u)], ["v", "u"])
-
-    found = met.mapInArrow(_by_group(solve, shard), "v bigint, u bigint")
-    return found.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
-
-
-def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
-    """row, grams: the distinct hashes of a text's word shingles (fewer words: the whole sequence; none: none)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
-        for batch in slices(batches, "text"):
-            grams = []
-            for text in batch.column(1):
-                w = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                n = max(1, len(w) - width + 1) if w else 0
-                grams.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(n)), np.uint64, n)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["row", "grams"])
-
-    return docs.select("row", "text").mapInArrow(run, "row bigint, grams array<bigint>")
-
-
-def alike(docs: DataFrame, pairs: DataFrame, width: int, least: float, pairs_a_task: int) -> DataFrame:
-    """Those of the pairs (v, u) whose texts have a Jaccard similarity of `least` or more."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    grams = materialise(shingle_hashes(docs.join(asked, "row", "left_semi"), width), "near-grams")
-    # A text with many copies meets them in as many tasks as they need.
-    size = pairs.groupBy("u").agg(F.ceil(F.count("*") / pairs_a_task).cast("int").alias("k"))
-    left = grams.withColumnRenamed("row", "u").join(size, "u")
-    left = left.select("u", F.col("grams").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    right = pairs.join(size, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("part"))
-    right = right.join(grams.select(F.col("row").alias("v"), F.col("grams").alias("y")), "v")
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    found = materialise(left.join(right, ["u", "part"]).where((union == 0) | (both >= F.lit(least) * union)).select("u", "v"), "near-links")
-    forget(grams)
-    return found
-
-
-def near_copies(
-    docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int = 8, radius: int = 3, shard: int = 20_000, pairs_a_task: int = 2_000, most: int = 16
-) -> DataFrame:
-    """row, component: rows of docs (row, doc_id, text) that are near copies of others, with their group.
-
-    Fingerprints of two-word shingles, by several seeds, propose pairs (an edit changes fewer of them than of longer
-    ones, so more copies come within the radius), and a pair links only if the texts' distinct `width`-word shingles have
-    a Jaccard similarity of `least` or more. Rows without a link are left out; two texts without words are equal.
-
-    Each row first meets its two best candidates, which links most copies. Of the rows that have any, all further pairs
-    within the radius but not yet of one component are then compared, `most` for each row of a group in the first round
-    and eight times as many in each further one, until none is left. So no pair within the radius stays uncompared
-    unless its rows are linked already; the work grows with the square only of groups that are close but not alike."""
-    fps = fingerprints(docs, 2, carry=("row",), seeds=seeds).select("row", F.concat(F.array("fp"), "more").alias("all"))
-    fps = materialise(fps, "near-fp")
-    tried = materialise(candidates(fps, radius, shard), "near-pairs")
-    linked = alike(docs, tried, width, least, pairs_a_task)
-    comp = components(linked, "near")
-    # Each row within the radius of another has a candidate.
-    asked = tried.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    close = materialise(fps.join(asked, "row", "left_semi"), "near-close")
-    forget(fps)
+        keys = [table.column(c).to_numpy() for c in key]
+        cuts = np.flatnonzero(np.any([np.append(True, k[1:] != k[:-1]) for k in keys], axis=0)).tolist()
+        row, comp = table.column("row").to_numpy(), table.column("comp").to_numpy()
+        tree, probe = (table.column(c).to_numpy() for c in ("tree", "probe"))
+        column = table.column("grams").combine_chunks()
+        grams, size = column.flatten().to_numpy(), table.column("n").to_numpy() - 1
+        ends = np.append(0, np.cumsum(size))
+        u, v = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
+            if b - a > 1:
+                x, y = alike_sets(grams[ends[a] : ends[b]], size[a:b], comp[a:b], tree[a:b], probe[a:b], least)
+                u.append(row[a:b][x])
+                v.append(row[a:b][y])
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *u])), pa.array(np.concatenate([none, *v]))], ["u", "v"])
+
+    dealt = dealt.repartition(partitions(dealt.sparkSession), *key).sortWithinPartitions(*key, "row")
+    return dealt.select(*key, "row", "grams", "n", "comp", "tree", "probe").mapInArrow(_by_group(solve, budget, key, "n"), "u bigint, v bigint")
+
+
+def _shares(rows: DataFrame, budget: int) -> DataFrame:
+    """cluster, k: how many shares of about `budget` shingles a cluster's rows make; rows: its rows."""
+    return rows.groupBy("cluster").agg(F.ceil(F.sum("n") / budget).cast("int").alias("k"), F.count("*").alias("rows"))
+
+
+def _within_shares(rows: DataFrame, least: float, budget: int, salt: int) -> DataFrame:
+    shares = _shares(rows, budget)
+    dealt = hot_join(rows, shares, "cluster", rows.count(), "rows")
+    yes = F.lit(True)
+    dealt = dealt.withColumns({"i": F.pmod(F.xxhash64("row", F.lit(salt)), F.col("k")).cast("int"), "comp": F.col("row"), "tree": yes, "probe": yes})
+    return _alike(dealt, ("cluster", "i"), least, budget)
+
+
+def alike(rows: DataFrame, least: float, budget: int) -> DataFrame:
+    """Edges (u, v) that connect all rows of a cluster (rows: row, cluster, grams, n; a table) whose sets are alike.
+
+    Clusters of up to `budget` shingles are one group. Of a larger one, shares are joined each for itself, then one
+    row of each component found, as long as that leaves fewer of them: what holds many copies of a text becomes one
+    component. Only rows outside a cluster's largest component then meet all its shares, which makes the join whole."""
+    edges = materialise(_within_shares(rows, least, budget, 0), "near-links")
+    # Each holds over `budget` shingles, so there are at most that part of all shingles of them.
+    big = materialise(_shares(rows, budget).where("k > 1").select("cluster"), "near-big")
+    if big.isEmpty():
+        return edges
+    rows = materialise(rows.join(F.broadcast(big), "cluster", "left_semi"), "near-large")
+    before, salt = None, 0
     while True:
-        of = close.join(comp.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("comp"), "all")
-        found = materialise(open_pairs(of, radius, shard, most), "near-open")
-        fresh = materialise(found.where("v is not null").join(tried, ["v", "u"], "left_anti"), "near-pairs")
-        done = found.where("v is null").isEmpty()
-        if not fresh.isEmpty():
-            more = alike(docs, fresh, width, least, pairs_a_task)
-            tried = tried.unionByName(fresh)
-            if not more.isEmpty():
-                linked = linked.unionByName(more)
-                comp = components(linked, "near")
-        if done:
+        comp = components(edges, "near-comp").select(F.col("node").alias("row"), F.col("root").alias("comp"))
+        of = materialise(rows.select("row", "cluster", "n").join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row")), "near-of")
+        first = materialise(of.groupBy("cluster", "comp").agg(F.min("row").alias("row"), F.count("*").alias("rows")), "near-first")
+        now = first.count()
+        if before is not None and now > 0.8 * before:
+            break
+        before, salt = now, salt + 1
+        few = materialise(rows.join(first.select("row"), "row", "left_semi"), "near-few")
+        more = materialise(_within_shares(few, least, budget, salt), "near-links")
+        if more.isEmpty():
             break
-        most *= 8
+        edges = edges.unionByName(more)
+    main = first.groupBy("cluster").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
+    placed = of.join(F.broadcast(main), "cluster").withColumn("rest", F.col("comp") != F.col("main"))
+    shares = placed.groupBy("cluster").agg(
+        F.ceil(F.sum("n") / budget).cast("int").alias("k"), F.ceil(F.sum(F.when(F.col("rest"), F.col("n"))) / budget).cast("int").alias("p")
+    )
+    placed = placed.join(F.broadcast(shares.where("p > 0")), "cluster")
+    h = F.xxhash64("row")
+    i, part = F.pmod(h, F.col("k")).cast("int"), F.pmod(h, F.col("p")).cast("int")
+    cells = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    member = cells("p", lambda x: F.struct(i.alias("i"), x.alias("part"), F.lit(True).alias("tree"), F.lit(False).alias("probe")))
+    probe = cells("k", lambda x: F.struct(x.alias("i"), part.alias("part"), F.lit(False).alias("tree"), F.lit(True).alias("probe")))
+    probe = F.when(F.col("rest"), probe).otherwise(F.slice(probe, 1, 0))
+    dealt = placed.select("row", "comp", F.inline(F.concat(member, probe))).join(rows, "row")
+    return edges.unionByName(materialise(_alike(dealt, ("cluster", "i", "part"), least, budget), "near-links"))
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, seeds: int = 8, radius: int = 3, shard: int = 20_000, budget: int = 1 << 21) -> DataFrame:
+    """row, component: rows of docs (row, text) that are near copies of others, with their group.
+
+    Fingerprints of two-word shingles, by several seeds (an edit changes fewer of them than of longer ones, so more
+    copies come within the radius), are linked as in near_duplicates; what they connect is a cluster. Within a cluster
+    two texts link if their distinct `width`-word shingles have a Jaccard similarity of `least` or more, found by an
+    exact set join (alike), so no pair of a cluster is missed and none is emitted. Two texts without words are equal.
+    budget: shingles that a task holds at a time. Rows without a link are left out."""
+    fps = fingerprints(docs.select(F.col("row").alias("doc_id"), "row", "text"), 2, carry=("row",), seeds=seeds)
+    fps = materialise(fps.select("row", F.posexplode(F.concat(F.array("fp"), "more")).alias("seed", "fp")), "near-fp")
+    first = materialise(fps.groupBy("seed", "fp").agg(F.min("row").alias("row"), F.count("*").alias("n")), "near-first")
+    # Rows of one fingerprint link to its first row, the first rows to each other.
+    again = first.where("n > 1").select(F.struct("seed", "fp").alias("key"), F.col("row").alias("u"), "n")
+    same = hot_join(fps.select(F.struct("seed", "fp").alias("key"), "row"), again, "key", fps.count())
+    same = same.where("u <> row").select("u", F.col("row").alias("v"))
+    edges = links(first.select("seed", "fp", "row"), radius, shard).unionByName(same)
+    close = components(edges, "near-clusters").select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    grams = materialise(shingle_hashes(docs.select("row", "text").join(close, "row"), width), "near-grams")
+    forget(fps)
+    comp = components(alike(grams, least, budget), "near")
     return comp.select(F.col("node").alias("row"), F.col("root").alias("component"))
 
 

@@ -170,7 +170,7 @@ def test_near_copies(spark, shard):
     grams = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in texts.items()}
     alike = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
     docs = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "row bigint, doc_id bigint, text string")
-    got = {r.row: r.component for r in simhash_dedup.near_copies(docs, shard=shard, pairs_a_task=3).collect()}
+    got = {r.row: r.component for r in simhash_dedup.near_copies(docs, shard=shard, budget=shard * 100).collect()}
     of = lambda i: got.get(i, -i - 1)
     assert all(any(alike(i, j) for j in got if j != i and got[j] == got[i]) for i in got)
     assert all(of(i) == of(j) for i in texts for j in texts if i < j and alike(i, j))
