@@ -1,17 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Training rows are those with a label outside the held-out fold. A bounded sample of them (`sample`
-documents, least hashes of their id) chooses the vocabulary - every word or word beginning whose presence tells
-the labels apart by a chi-square of `least` or more, however many they are - and serves as the examples, half of
-them toxic if there are as many. The default of 30 (four in a hundred million by chance) leaves under one chance
-term among the hundred thousands that a sample has. The idf of the vocabulary counts all documents. Scores are exact: the examples, ordered so that like vectors stand
-together, are cut into blocks; a query visits blocks by falling bound (its weights times the terms' block
-maxima) until the bound is below the k-th similarity found. Votes are weighted by similarity, and a
-logistic curve fitted on leave-one-out votes of the examples calibrates the score.
-
-Edge cases: null or empty text, or none of the words: the score of examples without the words; no labels:
-0 for all; ties between neighbours go to the earlier example; repeated rows and null ids pass through; an
-empty table gives an empty result; other columns are ignored.
+Training rows are those with a label outside the held-out fold; a bounded sample of them (`sample` documents, least
+hashes of their id, half of them toxic if there are as many) serves as the examples. Every word of theirs is a
+term. Its weight in a text is (1 + log tf) * idf * phi: idf counts all documents, and phi is the correlation of the
+word's presence with the label over the examples (the root of chi-square over their number), so that words which
+say nothing of the label hardly count, without a cut. The examples, ordered so that like vectors stand together,
+are cut into blocks; the block maxima of a query's terms bound its similarity to each block. The best blocks are
+scored first, then all those whose bound reaches the k-th similarity found, so results are exact. Votes are weighted
+by distance, and a logistic curve fitted on leave-one-out votes of all examples, weighted to the share of toxic
+ones among all labels, calibrates the score. The neighbours and their similarities are the evidence.
+
+Edge cases: null or empty text, or none of the words: the score of examples without words, and no evidence; no
+labels of one of both kinds: 0 for all; ties between neighbours go to the earlier example; repeated rows and null
+ids pass through; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,161 +29,215 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_fold, slices
 
 TERM = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5)
 
 
 def terms_of(text: str | None) -> list[str]:
-    """Words in lower case, and the beginnings of the longer ones (marked *), which inflected words share."""
-    words = TERM.findall((text or "").lower())
-    return words + [w[:n] + "*" for n in STEMS for w in words if len(w) > n]
+    """Words in lower case."""
+    return TERM.findall((text or "").lower())
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples as inverted lists in blocks of examples, with each list's maximum by block."""
+    """Unit vectors of the examples as inverted lists in blocks of examples, with each list's maximum by block.
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], terms: int, block: int = 64):
+    vectors: a dict {term: weight} each, or a pair of arrays."""
+
+    def __init__(self, vectors: list, labels: list[int], terms: int, block: int = 64):
         import numpy as np
 
+        pairs = [(np.array(list(v), np.int64), np.array(list(v.values()), np.float64)) if isinstance(v, dict) else v for v in vectors]
         # Examples with the same heaviest terms stand together, which makes block maxima tight.
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), i))
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.block, self.n = block, len(order)
+        heavy = [ids[np.lexsort((ids, -w))[:4]].tolist() for ids, w in pairs]
+        self.order = sorted(range(len(pairs)), key=lambda i: (heavy[i], i))
+        pairs = [pairs[i] for i in self.order]
+        self.labels = np.array([labels[i] for i in self.order], np.float64)
+        self.block, self.n, self.terms = block, len(pairs), terms
         self.blocks = -(-self.n // block)
-        self.maxima = np.zeros((terms, self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for d, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((d, w))
-        self.docs = [np.array([d for d, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        for t in range(terms):
-            np.maximum.at(self.maxima[t], self.docs[t] // block, self.weights[t])
-        self.bounds = [np.searchsorted(d, np.arange(self.blocks + 1) * block) for d in self.docs]
-        self.vectors = [vectors[i] for i in order]
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1):
+        self.size = np.array([len(ids) for ids, _ in pairs], np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int64), *[ids for ids, _ in pairs]]).astype(np.int32)
+        self.weight = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
+        self._lists = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_lists": None}
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        import numpy as np
+
+        cuts = np.cumsum(self.size)[:-1]
+        pairs = zip(np.split(self.term, cuts), np.split(self.weight, cuts), strict=True)
+        return [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in pairs] if self.n else []
+
+    def _inverted(self):
+        """Offsets, documents and weights of the lists; block maxima; rows of the longest lists, written out."""
+        import numpy as np
+
+        if self._lists is None:
+            doc = np.repeat(np.arange(self.n), self.size)
+            by = np.argsort(self.term, kind="stable")
+            held, docs, weights = self.term[by], doc[by], self.weight[by]
+            ptr = np.searchsorted(held, np.arange(self.terms + 1))
+            maxima = np.zeros((self.terms, self.blocks), np.float32)
+            np.maximum.at(maxima, (held, docs // self.block), np.nextafter(weights.astype(np.float32), np.float32(np.inf)))
+            long = np.flatnonzero(np.diff(ptr) > max(16, self.n // 16))
+            row = np.full(self.terms, -1)
+            row[long] = np.arange(len(long))
+            full = np.zeros((len(long), self.n))
+            on = row[held] >= 0
+            full[row[held[on]], docs[on]] = weights[on]
+            self._lists = ptr, docs, weights, maxima, row, full, np.append(0, np.cumsum(self.size)), np.zeros(self.terms)
+        return self._lists
+
+    def nearest(self, query, k: int, without: int = -1):
         """The k nearest examples with similarity above zero, as (example, similarity), nearest first."""
         import numpy as np
 
-        if not query or not self.n:
+        terms, q = (np.array(list(query), np.int64), np.array(list(query.values()), np.float64)) if isinstance(query, dict) else query
+        if not len(terms) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = list(query)
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.maxima[terms]
+        ptr, docs, weights, maxima, row, full, begin, dense = self._inverted()
+        bound = q @ maxima[terms] + 1e-6
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, sims, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while at < len(order) and (len(ids) < k or bound[order[at]] >= least - 1e-12):
-            visit = order[at : at + max(1, at)]  # as many again as were visited, so few steps
-            visit = visit[bound[visit] >= least - 1e-12] if len(ids) >= k else visit
-            at += max(1, at)
-            score = np.zeros((len(visit), self.block))
-            for t, w in zip(terms, q, strict=True):
-                for row, b in enumerate(visit):
-                    lo, hi = self.bounds[t][b], self.bounds[t][b + 1]
-                    if lo < hi:
-                        score[row, self.docs[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
-            row, col = np.nonzero(score > 0)
-            found = visit[row] * self.block + col
-            keep = found != without
-            ids = np.concatenate([ids, found[keep]])
-            sims = np.concatenate([sims, score[row, col][keep]])
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-            least = sims[-1] if len(sims) == k else 0.0
+        dense[terms] = q
+
+        def score(b):
+            lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
+            part = slice(begin[lo], begin[hi])
+            return np.arange(lo, hi), np.add.reduceat(dense[self.term[part]] * self.weight[part], begin[lo:hi] - begin[lo])
+
+        def best(found):
+            ids, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+            sims = np.round(sims, 12)
+            ids, sims = ids[keep := (sims > 0) & (ids != without)], sims[keep]
+            first = np.lexsort((ids, -sims))[:k]
+            return ids[first], sims[first]
+
+        at = max(1, -(-(k + 1) // self.block))
+        found = [score(b) for b in order[:at]]
+        ids, sims = best(found)
+        least = sims[-1] if len(sims) == k else 0.0
+        live = order[at:][bound[order[at:]] >= least]
+        if len(live) > max(4, self.blocks // 8):  # the lists of all terms at once are cheaper
+            rows = row[terms]
+            total = q[rows >= 0] @ full[rows[rows >= 0]]
+            short = terms[rows < 0]
+            n = ptr[short + 1] - ptr[short]
+            place = np.repeat(ptr[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            total = total + np.bincount(docs[place], weights[place] * np.repeat(q[rows < 0], n), self.n)
+            ids, sims = best([(np.arange(self.n), total)])
+        elif len(live):
+            ids, sims = best(found + [score(b) for b in live])
+        dense[terms] = 0
         return ids, sims
 
 
 class Neighbours:
-    """Vocabulary, idf, index and calibration."""
+    """Vocabulary, term weights, index and calibration.
+
+    bags: the examples as {word: count}; idf: of each word over all documents; toxic: their share among all labels."""
+
+    def __init__(self, idf: dict[str, float], bags: list[dict[str, int]], labels: list[int], k: int = 15, ids: list | None = None, toxic: float = 0.5):
+        import numpy as np
 
-    def __init__(self, idf: dict[str, float], bags: list[Counter], labels: list[int], k: int = 15):
         self.names = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = [idf[t] for t in sorted(idf)]
         self.k = k
+        label = np.array(labels, np.int64)
+        present = [np.array([self.names[w] for w in b if w in self.names], np.int64) for b in bags]
+        n, n1 = len(bags), int(label.sum())
+        a, b = (np.bincount(np.concatenate([np.zeros(0, np.int64), *[p for p, y in zip(present, labels, strict=True) if y == v]]), minlength=len(self.names)) for v in (1, 0))
+        a, b = a.astype(float), b.astype(float)
+        c, d = n1 - a, n - n1 - b
+        under = (a + b) * (c + d) * n1 * (n - n1)
+        self.phi = np.abs(a * d - b * c) / np.sqrt(np.where(under > 0, under, 1)) * (under > 0)
+        self.weight = np.array([idf[t] for t in sorted(idf)]) * self.phi
         vectors = [self.vector(b) for b in bags]
-        some = [i for i, v in enumerate(vectors) if v]
+        some = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = BlockMaxIndex([vectors[i] for i in some], [labels[i] for i in some], len(self.names))
-        rest = [labels[i] for i in range(len(labels)) if not vectors[i]]
-        self.empty = (sum(rest) + 0.5) / (len(rest) + 1) if labels else 0.0
-        self.a, self.b = self._calibrate()
-        self.cache: dict[tuple, float] = {}
+        self.ids = [(ids or list(range(n)))[some[i]] for i in self.index.order]
+        rest = [labels[i] for i in range(n) if not len(vectors[i][0])]
+        self.empty = (sum(rest) + toxic) / (len(rest) + 1) if labels else 0.0
+        self.a, self.b = self._calibrate(toxic)
 
-    def bag(self, text: str | None) -> Counter:
-        names = self.names
-        return Counter(w for w in terms_of(text) if w in names)
-
-    def vector(self, bag: Counter) -> dict[int, float]:
-        x = {self.names[w]: (1 + math.log(n)) * self.idf[self.names[w]] for w, n in bag.items() if w in self.names}
-        x = {t: w for t, w in x.items() if w > 0}
-        norm = math.sqrt(sum(w * w for w in x.values()))
-        return {t: w / norm for t, w in x.items()}
+    def vector(self, bag: dict[str, int]):
+        """Terms and their weights, of length one; words of no weight are left out."""
+        import numpy as np
 
-    def vote(self, vector: dict[int, float], without: int = -1) -> float:
-        """Similarity-weighted share of toxic neighbours; the examples' share stands in for missing ones."""
-        ids, sims = self.index.nearest(vector, self.k, without)
+        names = self.names
+        known = [(names[w], n) for w, n in bag.items() if w in names]
+        terms = np.array([t for t, _ in known], np.int64)
+        w = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.weight[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        order = np.argsort(terms)
+        return terms[order], w[order] / (math.sqrt(w @ w) or 1.0)
+
+    def vote(self, ids, sims) -> float:
+        """Share of toxic neighbours, weighted by distance, with one doubtful neighbour more."""
         w = 1.0 / (1.0 - sims.clip(0, 1) + 0.05)
-        prior = 0.5
-        return float((w @ self.index.labels[ids] + prior) / (w.sum() + 1.0))
+        return float((w @ self.index.labels[ids] + 0.5) / (w.sum() + 1.0))
 
-    def _calibrate(self) -> tuple[float, float]:
+    def _calibrate(self, toxic: float) -> tuple[float, float]:
         """Slope and offset of a logistic curve over leave-one-out votes."""
         import numpy as np
 
-        n = min(self.index.n, 2000)
-        if n < 10 or len(set(self.index.labels.tolist())) < 2:
+        y = self.index.labels
+        if self.index.n < 10 or len(set(y.tolist())) < 2:
             return 8.0, -4.0
-        some = np.linspace(0, self.index.n - 1, n).astype(int)
-        x = np.array([self.vote(self.index.vectors[i], i) for i in some])
-        y = self.index.labels[some]
+        cuts = np.cumsum(self.index.size)[:-1]
+        pairs = zip(np.split(self.index.term, cuts), np.split(self.index.weight, cuts), strict=True)
+        x = np.array([self.vote(*self.index.nearest(pair, self.k, i)) for i, pair in enumerate(pairs)])
+        share = y.mean()
+        v = np.where(y == 1, toxic / share, (1 - toxic) / (1 - share))
         a, b = 8.0, -4.0
         for _ in range(50):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([(p - y) @ x + 1e-2 * (a - 8), (p - y).sum() + 1e-2 * (b + 4)])
-            s = p * (1 - p)
+            g = np.array([(v * (p - y)) @ x + 1e-2 * (a - 8), (v * (p - y)).sum() + 1e-2 * (b + 4)])
+            s = v * p * (1 - p)
             h = np.array([[s @ (x * x) + 1e-2, s @ x], [s @ x, s.sum() + 1e-2]])
             da, db = np.linalg.solve(h, g)
             a, b = a - float(np.clip(da, -5, 5)), b - float(np.clip(db, -5, 5))
         return a, b
 
+    def judge(self, text: str | None) -> tuple[float, list, list[float]]:
+        """The score, the ids of the neighbours and their similarities."""
+        vector = self.vector(Counter(terms_of(text)))
+        if not len(vector[0]):
+            return self.empty, [], []
+        ids, sims = self.index.nearest(vector, self.k)
+        return 1 / (1 + math.exp(-max(-50, min(50, self.a * self.vote(ids, sims) + self.b)))), [self.ids[i] for i in ids.tolist()], sims.tolist()
+
     def score(self, text: str | None) -> float:
-        bag = self.bag(text)
-        key = tuple(sorted(bag.items()))
-        if key not in self.cache:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            vector = self.vector(bag)
-            self.cache[key] = 1 / (1 + math.exp(-max(-50, min(50, self.a * self.vote(vector) + self.b)))) if vector else self.empty
-        return self.cache[key]
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: float = 30.0, k: int = 15) -> Neighbours | None:
-    """Examples and vocabulary from a bounded sample of labelled rows outside the held-out fold."""
-    ours = labels.where((crc_fold(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+        return self.judge(text)[0]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, k: int = 15) -> Neighbours | None:
+    """Examples from a bounded sample of labelled rows outside the held-out fold."""
+    kind = docs.schema["doc_id"].dataType
+    ours = labels.where((crc_fold(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast(kind).alias("doc_id"), "toxic").where("doc_id is not null")
+    share = ours.agg(F.avg("toxic")).first()[0]
     h = F.xxhash64("doc_id")
     picked = []
     for toxic in (0, 1):
         picked += ours.where(F.col("toxic") == toxic).select("doc_id", "toxic", h.alias("h")).orderBy("h", "doc_id").limit(sample // 2).collect()
     if len({r.toxic for r in picked}) < 2:
         return None
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id bigint, toxic int").dropDuplicates(["doc_id"])
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], f"doc_id {kind.simpleString()}, toxic int").dropDuplicates(["doc_id"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = [sorted(set(terms_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+            rows = [sorted(Counter(terms_of(t)).items()) for t in batch.column(2).to_pylist()]
+            words = pa.array([[w for w, _ in r] for r in rows], pa.list_(pa.string()))
+            count = pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, count], ["doc_id", "toxic", "words", "n"])
 
-    # Bounded by `sample`, so broadcast. Null ids never join.
+    # Bounded by `sample`, so broadcast. Repeated rows of an id would break the bound: one row for each id.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    size = Counter(r.toxic for r in picked)
-    n1, n0 = size[1], size[0]
-    seen = texts.select("toxic", "text").mapInArrow(bags, "toxic int, words array<string>").select("toxic", F.explode("words").alias("word"))
-    seen = seen.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 5")
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = n1 - a, n0 - b
-    chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * n1 * n0)
-    names = {r.word for r in seen.where(chi > least).select("word").collect()}
+    rows = texts.mapInArrow(bags, f"doc_id {kind.simpleString()}, toxic int, words array<string>, n array<int>")
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.struct("words", "n")).alias("bag"))
+    rows = rows.select("doc_id", "toxic", "bag.words", "bag.n").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
+        return None
+    examples = [dict(zip(w.as_py(), n.as_py(), strict=True)) for w, n in zip(rows.column("words"), rows.column("n"), strict=True)]
+    names = {w for b in examples for w in b}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents and how many of them have each word of the vocabulary."""
@@ -194,38 +249,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: float =
         words = sorted(count)
         yield pa.RecordBatch.from_arrays([pa.array(["", *words]), pa.array([total, *[count[w] for w in words]], pa.int64())], ["word", "n"])
 
-    df = {r.word: r.n for r in docs.select("text").mapInArrow(held, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    # As many rows as the sample's texts have words.
+    found = docs.select("text").mapInArrow(held, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
     total = df.pop("", 0)
     idf = {w: math.log(1 + total / max(1, df.get(w, 0))) for w in names}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = [Counter(w for w in terms_of(t) if w in names) for t in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-            rows = pa.array([[{"word": w, "n": n} for w, n in sorted(r.items())] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["doc_id", "toxic", "words"])
-
-    # Repeated rows of an id would break the bound: one row for each id.
-    rows = texts.mapInArrow(vectors, "doc_id bigint, toxic int, words array<struct<word: string, n: bigint>>")
-    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return Neighbours(idf, [Counter({w.word: w.n for w in r.words}) for r in rows], [r.toxic for r in rows], k)
+    return Neighbours(idf, examples, rows.column("toxic").to_pylist(), k, rows.column("doc_id").to_pylist(), float(share))
 
 
 def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
-    """doc_id, score, predicted."""
+    """doc_id, score, predicted, neighbours (ids of the nearest examples, nearest first) and similarities."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            scores = [model.score(t) if model else 0.0 for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted"])
+            found = [model.judge(t) if model else (0.0, [], []) for t in batch.column(1).to_pylist()]
+            cols = [batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _, _ in found], pa.int32())]
+            cols += [pa.array([i for _, i, _ in found], pa.list_(batch.column(0).type)), pa.array([d for _, _, d in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "neighbours", "similarities"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, neighbours array<{kind}>, similarities array<double>")
 
 
 def op10_toxicity_knn(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = score(docs, train(docs, labels))
-    return found.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "neighbours", "similarities")

@@ -134,6 +134,42 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_scores_are_those_of_brute_force(spark):
+    """The whole path against cosines over all examples, computed from the texts with plain dictionaries."""
+    full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts, truth = dict(full.select("doc_id", "text").collect()), {r.doc_id: r.toxic for r in labels.collect()}
+    bag = {d: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for d, t in texts.items()}
+    examples = sorted(d for d in truth if zlib.crc32(str(d).encode()) % 5 and d in texts)
+    df, n, toxic = Counter(w for b in bag.values() for w in b), len(examples), sum(truth[d] for d in examples)
+    a, b = (Counter(w for d in examples if truth[d] == v for w in bag[d]) for v in (1, 0))
+
+    def phi(w):
+        under = (a[w] + b[w]) * (n - a[w] - b[w]) * toxic * (n - toxic)
+        return abs(a[w] * (n - toxic - b[w]) - b[w] * (toxic - a[w])) / math.sqrt(under) if under else 0.0
+
+    weight = {w: math.log(1 + len(texts) / df[w]) * phi(w) for w in {*a, *b}}
+
+    def unit(words):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in words.items() if weight.get(w, 0) > 0}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    held = {d: unit(bag[d]) for d in examples}
+    model = toxicity.train(full, labels)
+    got = {r.doc_id: r for r in toxicity.score(full, model).collect()}
+    assert set(got) == set(texts)
+    for d in sorted(texts)[::9]:
+        q = unit(bag[d])
+        sims = sorted(((-sum(x * v.get(w, 0.0) for w, x in q.items()), e) for e, v in held.items()))[:15]
+        assert np.allclose([-s for s, _ in sims if s < 0], got[d].similarities, atol=1e-9)
+        assert {e for s, e in sims if -s > got[d].similarities[-1] + 1e-9} <= set(got[d].neighbours)
+        by = dict(zip(got[d].neighbours, got[d].similarities, strict=True))
+        w = {e: 1 / (1 - min(1, s) + 0.05) for e, s in by.items()}
+        vote = (sum(x * truth[e] for e, x in w.items()) + 0.5) / (sum(w.values()) + 1)
+        assert abs(got[d].score - 1 / (1 + math.exp(-(model.a * vote + model.b)))) < 1e-9
+
+
 def test_every_significant_term_counts(spark):
     terms = [a + b + "z" for a in "abcdefghij" for b in "klmnop"]
     ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:1200]
