@@ -49,11 +49,11 @@ def _drop_all() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write to a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_table(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -81,7 +81,7 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, n: str = "n") -> DataFrame:
     """rows joined with table, which has one row a key and in `n` the key's rows among the `total` of rows.
 
     Keys with over a 4p-th of all rows, for p partitions, are fewer than 4p, whatever the data: those are broadcast, so
@@ -91,7 +91,8 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "
     if hot.isEmpty():
         return rows.join(table, key)
     hot = F.broadcast(hot)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    names = [key] if isinstance(key, str) else key
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*names), key, "left_anti").join(cold, key))
 
 
 def crc_fold(doc_id: Column) -> Column:

@@ -3,19 +3,21 @@
 A gear hash rolls over the UTF-8 bytes: each byte adds its gear value to the hash shifted by two bits,
 modulo 2**32, so the hash knows the last 16 bytes only. Of every `window` words in a row, the start with the least
 hash before it (the last of equals) is a boundary, so boundaries are at most `window` words apart, whatever the text,
-and depend on nearby words only: an insertion moves only the chunks it touches. Each chunk is looked up together
-with the next one, by the 64-bit digest of both over the whole corpus; runs of such pairs that other documents also
-hold are the repeated passages, reported where they have at least `words` words.
+and depend on nearby words only: an insertion moves only the chunks it touches. From each boundary on, the fewest
+whole chunks that have at least `words` words are a variable chunk that is looked up by its digest (96 bits) over the
+whole corpus: one that another document also holds is repeated, as a whole and in that one document. Repeated chunks
+of a row that overlap are one passage, so every stretch of `words` words of a passage stands in some other document;
+short matches with several documents side by side make no passage.
 
 A passage that stands in two documents has 16 bytes (8 words at most) and the windows across its ends in which the
-documents may choose otherwise: with windows of 6 words, under 18 words are lost before the first common boundary
-and under 12 after the last, so 20 words finds all passages of over 50, also those of short or repeated words.
-A filter of fixed size over the repeated digests keeps most chunks out of the join with them. boundaries() is the
-same hash's rule for bytes, which no query uses.
-
-Edge cases: null and empty texts have no chunks; documents are told apart by doc_id, so repeated rows of one
-id are one document and repeat nothing by themselves; null ids are one document; an empty table gives an
-empty result; other columns are ignored.
+documents may choose otherwise: under 8 + 2 * window words are lost before the first common boundary and under
+2 * window after the last, and a chunk has under words + window words. With windows of 5 words, 20 words finds all
+passages of over 50, also those of short or repeated words. A filter of fixed size over the repeated digests keeps
+most chunks out of the join with them. boundaries() is the same hash's rule for bytes, which no query uses.
+
+Edge cases: null and empty texts have no chunks; documents are told apart by doc_id (null ids are one document), so
+repeated rows of one id repeat nothing by themselves, but each row has its own passages; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import materialise, partitions, slices
+from tessera.llm.common import forget, hot_join, materialise, slices
 
-AVERAGE, LEAST, MOST, WINDOW, WORDS, FILTER_BITS = 32, 12, 512, 6, 20, 26
+AVERAGE, LEAST, MOST, WINDOW, WORDS, FILTER_BITS = 32, 12, 512, 5, 20, 26
 
 
 def gear_table():
@@ -90,9 +92,9 @@ def boundaries(data: bytes, average: int = AVERAGE, least: int = LEAST, most: in
     return ends
 
 
-def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, pos, start, length (bytes), words (starts of words), own (those of the first), parts (their number) and
-    digest of all pairs of adjacent chunks of all texts; a text of one chunk has that alone."""
+def chunks(docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFrame:
+    """row (a number of the row), doc_id, start and length (bytes), word (number of the first), words (how many), digest
+    and mark (64 and 32 bits of the chunk's hash) of the variable chunks of at least `words` words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b as hash_of
@@ -101,10 +103,10 @@ def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         blank = np.zeros(256, bool)
         blank[[32, *range(9, 14)]] = True
-        names = ["doc_id", "pos", "start", "length", "words", "own", "parts", "digest"]
+        names = ["row", "doc_id", "start", "length", "word", "words", "digest", "mark"]
         for batch in slices(batches, "text"):
-            doc, pos, start, length, words, own, parts, digest = [], [], [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            of, start, length, word, count, digest = [], [], [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 space = blank[np.frombuffer(data, np.uint8)]
                 first = ~space & np.append(True, space[:-1])[: len(data)]
@@ -112,55 +114,65 @@ def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if not len(ends):
                     continue
                 begins = np.append(0, ends[:-1])
-                count = np.add.reduceat(first, begins, dtype=np.int64)
-                if len(ends) > 1:
-                    begins, ends, single, count = begins[:-1], ends[1:], count[:-1], count[:-1] + count[1:]
-                    parts.append(np.full(len(ends), 2))
-                else:
-                    single = count
-                    parts.append(np.ones(1))
-                doc.append(np.full(len(ends), i))
-                pos.append(np.arange(len(ends)))
+                upto = np.cumsum(np.add.reduceat(first, begins, dtype=np.int64))
+                before = np.append(0, upto[:-1])
+                last = np.searchsorted(upto, before + words)
+                whole = last < len(ends)
+                begins, before, last = begins[whole], before[whole], last[whole]
+                of.append(np.full(len(begins), i))
                 start.append(begins)
-                length.append(ends - begins)
-                words.append(count)
-                own.append(single)
-                digest += [hash_of(data[a:b], digest_size=8).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-            if doc:
-                cols = [batch.column(0).take(pa.array(np.concatenate(doc)))]
-                cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, start, length, words, own, parts)]
-                cols.append(pa.array(np.frombuffer(b"".join(digest), np.int64)))
+                length.append(ends[last] - begins)
+                word.append(before)
+                count.append(upto[last] - before)
+                digest += [hash_of(data[a:b], digest_size=12).digest() for a, b in zip(begins.tolist(), ends[last].tolist(), strict=True)]
+            if of:
+                at = pa.array(np.concatenate(of))
+                cols = [batch.column(0).take(at), batch.column(1).take(at)]
+                cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (start, length, word, count)]
+                both = np.frombuffer(b"".join(digest), np.dtype([("digest", "<i8"), ("mark", "<i4")]))
+                cols += [pa.array(both["digest"].copy()), pa.array(both["mark"].copy())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, start int, length int, words int, own int, parts int, digest bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, f"row bigint, doc_id {kind}, start int, length int, word int, words int, digest bigint, mark int")
+
+
+def _in_several(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, low (the least doc_id) and n (rows) of the keys that several documents hold; null ids are one document."""
+    known = rows.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("ids"), F.count("*").alias("n"))
+    return known.where("low < high or (ids > 0 and ids < n)").select(*key, "low", "n")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), chunks, words, first_doc_id (the least that holds its first
     chunk), first (whether that is this document) and digest: passages that other documents hold as well."""
-    every = materialise(chunks(docs, window), "cdc-chunks")
-    known = every.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("ids"), F.count("*").alias("n"))
-    # In more than one document; null ids are one more.
-    known = materialise(known.where("low < high or (ids > 0 and ids < n)").select("digest", "low"), "cdc-known")
+    every = materialise(chunks(docs, window, words), "cdc-chunks", "zstd")
+    known = materialise(_in_several(every, ["digest"]).select("digest"), "cdc-known")
     bit = F.pmod(F.xxhash64("digest"), F.lit(1 << FILTER_BITS))
     seen = known.groupBy(F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
     tested = every.withColumns({"block": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(seen), "block")
-    word = F.conv(F.hex(F.expr("substring(bitmap, int(at div 8) + 1, 1)")), 16, 10).cast("int")
-    maybe = tested.where(word.bitwiseAND(F.expr("shiftleft(1, int(at % 8))")) != 0).select(*every.columns)
-    held = maybe.join(known, "digest").select("doc_id", "pos", "start", "length", "words", "own", "parts", "digest", "low")
-    held = held.repartition(partitions(docs.sparkSession), "doc_id").dropDuplicates(["doc_id", "pos"])
-    island = held.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
-    found = island.groupBy("doc_id", "run").agg(
+    byte = F.conv(F.hex(F.expr("substring(bitmap, int(at div 8) + 1, 1)")), 16, 10).cast("int")
+    maybe = tested.where(byte.bitwiseAND(F.expr("shiftleft(1, int(at % 8))")) != 0).select(*every.columns)
+    maybe = materialise(maybe, "cdc-maybe", "zstd")
+    # The few rows that the filter lets pass are counted again, by the whole hash, so equal digests of other texts go.
+    forget(every)
+    sure = materialise(_in_several(maybe, ["digest", "mark"]), "cdc-sure")
+    held = hot_join(maybe, sure, ["digest", "mark"], maybe.count())
+    end = F.col("start") + F.col("length")
+    order = W.partitionBy("row").orderBy("start")
+    before = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = held.withColumn("new", (F.coalesce(before, F.lit(0)) <= F.col("start")).cast("int"))
+    found = apart.withColumn("run", F.sum("new").over(order)).groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"),
         F.min("start").cast("long").alias("start"),
-        F.max(F.col("start") + F.col("length")).cast("long").alias("end"),
-        (F.count("*") + F.max("parts") - 1).alias("chunks"),
-        (F.sum("own") + F.max_by(F.col("words") - F.col("own"), "pos")).alias("words"),
-        F.min_by("low", "pos").alias("first_doc_id"),
-        F.lpad(F.lower(F.hex(F.min_by("digest", "pos"))), 16, "0").alias("digest"),
+        F.max(end).cast("long").alias("end"),
+        F.count("*").alias("chunks"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("words"),
+        F.min_by("low", "start").alias("first_doc_id"),
+        F.lpad(F.lower(F.hex(F.min_by("digest", "start"))), 16, "0").alias("digest"),
     )
-    found = found.where(F.col("words") >= words).drop("run")
-    return found.withColumn("first", F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    return found.drop("row", "run").withColumn("first", F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
 
 
 def op8_cdc_substrings(spark, sf_dir: str) -> DataFrame:

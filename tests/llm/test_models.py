@@ -224,14 +224,73 @@ def test_repeated_passages(spark, docs, odd, none):
     by = dict(rows)
     for r in found:
         assert by[r.doc_id].encode()[r.start : r.end].decode() in shared and r.first_doc_id == 1 and r.first == (r.doc_id == 1)
-    # Against brute force: a chunk is repeated if another document has it.
-    have = defaultdict(set)
-    for r in substring_dedup.chunks(docs).collect():
-        have[r.digest].add(r.doc_id)
-    repeated = {d for ids in have.values() if len(ids) > 1 for d in ids}
-    assert {r.doc_id for r in substring_dedup.repeated_passages(docs, words=1).collect()} <= repeated
-    assert {r.doc_id for r in substring_dedup.repeated_passages(odd, words=1).collect()} <= {1, 2, 7}
     assert substring_dedup.repeated_passages(none).count() == 0
+    assert {r.doc_id for r in substring_dedup.repeated_passages(odd, words=1).collect()} <= {1, 2, 7}
+
+
+def passages_again(rows, words, window=substring_dedup.WINDOW):
+    """(doc_id, start, end, words, first_doc_id) by brute force: all chunks in a dictionary by their bytes."""
+    gear = substring_dedup.gear_table().tolist()
+    pieces = []
+    for doc, text in rows:
+        data = (text or "").encode()
+        starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        inner = [s for s in starts if s > 0]
+
+        def h(at, data=data):
+            return sum(gear[b] << 2 * i for i, b in enumerate(reversed(data[max(0, at - 16) : at]))) % 2**32
+
+        hs = {s: h(s) for s in inner}
+        cuts = {min(inner[i : i + window], key=lambda s: (hs[s], -s)) for i in range(len(inner) - window + 1)}
+        ends = sorted(cuts) + [len(data)] if data else []
+        own = []
+        for i, a in enumerate([0, *ends[:-1]] if ends else []):
+            for e in ends[i:]:
+                if sum(a <= s < e for s in starts) >= words:
+                    own.append((a, e))
+                    break
+        pieces.append([(a, e, data[a:e]) for a, e in own])
+    have = defaultdict(set)
+    for (doc, _), own in zip(rows, pieces, strict=True):
+        for _, _, x in own:
+            have[x].add(doc)
+    out = []
+    for (doc, text), own in zip(rows, pieces, strict=True):
+        passages = []
+        for a, e, x in own:
+            if len(have[x]) > 1:
+                low = min((d for d in have[x] if d is not None), default=None)
+                if passages and a < passages[-1][1]:
+                    passages[-1][1] = max(e, passages[-1][1])
+                else:
+                    passages.append([a, e, low])
+        data = (text or "").encode()
+        out += [(doc, a, e, len(data[a:e].split()), low) for a, e, low in passages]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("words", [3, 20])
+def test_passages_are_those_of_brute_force(spark, docs, words):
+    rows = [(r.doc_id, r.text[:1500]) for r in docs.collect()]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (rows[1][0], rows[2][1]), (9001, rows[3][1][200:900]), (9002, "x" + rows[3][1][300:1200]), (9003, None), (9004, "a b " * 300)]
+    rows += [(9005, "b a " * 300)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), words).collect()
+    assert sorted(((r.doc_id, r.start, r.end, r.words, r.first_doc_id) for r in got), key=str) == passages_again(rows, words)
+    assert len(got) > 20
+
+
+def test_matches_side_by_side_and_rows_of_one_id(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    p, q, r, s = text(60), text(60), text(60), text(60)
+    cut = lambda t, a, b: " ".join(t.split()[a:b])
+    rows = [(1, p), (2, q), (3, f"{cut(p, 10, 24)} {cut(q, 10, 18)} {text(30)}")]  # 14 and 8 words: no passage of 20
+    rows += [(4, r), (5, s), (9, r), (9, s)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(x.doc_id for x in found) == [4, 5, 9, 9] and {x.first_doc_id for x in found} == {4, 5}
+    nulls = [(None, r), (None, s), (4, r), (5, s)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(nulls, "doc_id bigint, text string")).collect()
+    assert sorted(str(x.doc_id) for x in found) == ["4", "5", "None", "None"]
 
 
 def test_every_passage_of_over_fifty_words_is_found(spark):
