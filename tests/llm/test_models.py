@@ -62,6 +62,24 @@ def test_repeated_candidates_leave_room_for_others(spark):
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([d for _, d in got], [d for _, d in want])
 
 
+def test_results_do_not_depend_on_partitions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 100 = 0")
+    small = {"rerank": 16, "probes": 3, "share": 50}
+    found = []
+    for n in (1, 16):
+        got = additive_ann.search(rows.repartition(n), asked, **small).collect()
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1] and len(found[0]) == 200
+    data = [(r.vec_id, r.embedding) for r in rows.select("vec_id", "embedding").collect()]
+    got, hits = defaultdict(set), 0
+    for r in additive_ann.search(rows, asked, rerank=40).collect():
+        got[r.query_id].add(r.vec_id)
+    for q, ids in got.items():
+        hits += len({i for _, i in nearest_again(data, q)} & ids)
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def test_beam_search_beats_greedy_encoding():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16)).astype(np.float32)
