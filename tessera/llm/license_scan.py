@@ -3,10 +3,12 @@
 A logistic regression over sparse word n-grams (one to three words) tells licence families and `unknown`
 apart. It is trained in numpy when the scan is planned, on seeded variations of the templates below and of
 near misses, never on the data; its temperature is fitted on variations kept aside, so the unknown class is
-calibrated. An n-gram counts only if it holds a salient word, so paragraphs (lines) without salient words
-are unknown by the model itself and need scoring only if they speak of licences. The others' n-grams meet the weights - a table of fixed
-size - in a broadcast join, sums give the softmax, and the share of the best template's three-word shingles
-that the paragraph contains confirms the prediction.
+calibrated. An n-gram counts only if it holds a salient word, so lines without salient words are unknown by the model
+itself and need scoring only if they speak of licences. Notices may be one line or wrapped over several: besides each
+such line, each run of them (at most one other line between two) is scored as one paragraph, and reported where it
+confirms a template of a family that none of its lines confirms; its unconfirmed lines then go. The n-grams meet the
+weights and the templates' three-word shingles - a table of fixed size - in one broadcast join and one aggregation: sums
+give the softmax, and the share of the best template's shingles that the paragraph contains confirms the prediction.
 
 Edge cases: null and empty texts have no paragraphs; null ids and repeated rows are reported each for
 itself; n-grams that a paragraph repeats count once; an empty table gives an empty result; other columns
@@ -20,38 +22,76 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tessera.llm.common import materialise
 
 # Licence notices by family.
 TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
+        "License: MIT",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "License: GPLv3",
+        "Distributed under the GPL.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "License: AGPLv3",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "isc": [
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "zlib": [
+        "Licensed under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -92,7 +132,7 @@ SIZES = (1, 2, 3)
 
 
 def words(text: str) -> list[str]:
-    return re.findall(WORD, text.lower())
+    return re.findall(WORD, text.lower().replace("licence", "license"))
 
 
 def ngrams(ws: list[str]) -> set[str]:
@@ -176,54 +216,80 @@ def _grams(n: int, ws: Column) -> Column:
     return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
 
 
+def _lines(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """row, doc_id, paragraph (number of the line), low (its text), speaks, run: the lines worth scoring, in a table."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.withColumn("low", F.replace(F.lower("line"), F.lit("licence"), F.lit("license")))
+    # Every n-gram of the model holds a salient word: without one, the line's logits are the biases alone.
+    salient = r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model.salient) + r")(?![a-z0-9])"
+    speaks = F.col("low").rlike(r"license|copyright|rights reserved|public domain")
+    held = materialise(lines.where(F.col("low").rlike(salient) | speaks).select("row", "doc_id", "paragraph", "low", speaks.alias("speaks")), "licence-lines")
+    order = W.partitionBy("row").orderBy("paragraph")
+    new = F.coalesce(F.col("paragraph") - F.lag("paragraph").over(order) > 2, F.lit(True)).cast("int")
+    return held.withColumn("new", new).withColumn("run", F.sum("new").over(order)).drop("new")
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.8) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, unknown_probability, template, similarity, confirmed.
+    """doc_id, paragraph (number of its first line, from 0), lines (how many), family, probability, unknown_probability,
+    template, similarity, confirmed.
 
     Reports paragraphs whose likeliest family beats unknown, and those the model calls unknown although
     they speak of licences or copyright."""
     spark = docs.sparkSession
     model = model or LicenceModel()
     classes = model.classes
-    weights = spark.createDataFrame(
-        [("", [0.0] * len(classes)), *[(g, [float(w) for w in model.weights[i]]) for g, i in model.at.items()]], "gram string, w array<double>"
-    )
-    templates = [(f, i, s, len(shingles(words(t)))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for s in sorted(shingles(words(t)))]
-    templates = spark.createDataFrame(templates, "family string, template int, gram string, size int")
-
-    row = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = row.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.withColumn("low", F.lower("line"))
-    # Every n-gram of the model holds a salient word: without one, the line's logits are the biases alone.
-    salient = r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model.salient) + r")(?![a-z0-9])"
-    speaks = F.col("low").rlike(r"licen[sc]e|copyright|rights reserved|public domain")
-    lines = lines.where(F.col("low").rlike(salient) | speaks).withColumn("ws", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
-    grams = F.array_distinct(F.concat(*[_grams(n, F.col("ws")) for n in SIZES]))
-    few = F.when(F.size("ws") < 3, F.array(F.array_join("ws", " "))).otherwise(F.array().cast("array<string>"))
+    templates = [(f, i, shingles(words(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    held: dict[str, list[int]] = {}
+    for at, (_, _, parts) in enumerate(templates):
+        for part in parts:
+            held.setdefault(part, []).append(at)
     # The empty n-gram weighs nothing: lines that speak of licences but hold no known n-gram get the biases.
-    some = F.when(speaks, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    each = lines.select("_row", "doc_id", "paragraph", speaks.alias("speaks"), F.explode(F.array_distinct(F.concat(grams, few, some))).alias("gram"))
-
-    # Weights and templates have fixed sizes, set by the module.
-    scored = each.join(F.broadcast(weights), "gram").groupBy("_row", "doc_id", "paragraph", "speaks")
-    scored = scored.agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))])
+    grams = [""] + sorted({*model.vocabulary, *held})
+    weigh = lambda g: [float(w) for w in model.weights[model.at[g]]] if g in model.at else [0.0] * len(classes)
+    table = spark.createDataFrame([(g, weigh(g), held.get(g, [])) for g in grams], "gram string, w array<double>, t array<int>")
+
+    lines = _lines(docs, model)
+    several = lines.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), (F.max("paragraph") - F.min("paragraph") + 1).alias("lines"),
+        F.sort_array(F.collect_list(F.struct("paragraph", "low"))).alias("parts"), F.bool_or("speaks").alias("speaks"),
+    ).where(F.size("parts") > 1)
+    several = several.select("row", "doc_id", "paragraph", "run", "lines", "speaks", F.array_join(F.transform("parts", lambda x: x["low"]), " ").alias("low"))
+    units = lines.select("row", "doc_id", "paragraph", "run", F.lit(1).alias("lines"), "speaks", "low").unionByName(several)
+    key = ["row", "doc_id", "paragraph", "run", "lines", "speaks"]
+    units = units.withColumn("ws", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
+    none = F.array().cast("array<string>")
+    few = F.when(F.size("ws") < 3, F.array(F.array_join("ws", " "))).otherwise(none)
+    some = F.when(F.col("speaks"), F.array(F.lit(""))).otherwise(none)
+    each = units.select(*key, F.explode(F.array_distinct(F.concat(*[_grams(n, F.col("ws")) for n in SIZES], few, some))).alias("gram"))
+
+    # The table has a fixed size, set by the module.
+    scored = each.join(F.broadcast(table), "gram").groupBy(*key)
+    scored = scored.agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))], F.flatten(F.collect_list("t")).alias("hits"))
     z = [(F.col(f"z{i}") + float(model.bias[i])) / model.temperature for i in range(len(classes))]
-    scored = scored.select("_row", "doc_id", "paragraph", "speaks", F.array(*z).alias("z")).withColumn("top", F.array_max("z"))
+    scored = scored.select(*key, "hits", F.array(*z).alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("top"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     best = F.array_position("z", F.col("top")).cast("int")
     scored = scored.select(
-        "_row", "doc_id", "paragraph", "speaks",
+        *key, "hits",
         F.element_at(F.array(*map(F.lit, classes)), best).alias("family"),
         (F.element_at("e", best) / total).alias("probability"),
         (F.element_at("e", len(classes)) / total).alias("unknown_probability"),
     ).where((F.col("family") != UNKNOWN) | F.col("speaks"))
 
-    near = each.join(F.broadcast(templates), "gram").groupBy("_row", "paragraph", "family", "template").agg((F.count("*") / F.first("size")).alias("similarity"))
-    near = near.groupBy("_row", "paragraph", "family").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("b"))
-    near = near.select("_row", "paragraph", "family", (-F.col("b.t")).alias("template"), F.col("b.similarity").alias("similarity"))
-    out = scored.join(near, ["_row", "paragraph", "family"], "left")
-    similarity = F.coalesce("similarity", F.lit(0.0))
-    return out.select("doc_id", "paragraph", "family", "probability", "unknown_probability", "template", similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
+    known = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(f).alias("family"), F.lit(i).alias("template"), F.lit(len(parts)).alias("size")) for at, (f, i, parts) in enumerate(templates)])
+    share = lambda t: F.size(F.filter("hits", lambda x: x == t["at"])) / t["size"]
+    near = F.transform(F.filter(known, lambda t: t["family"] == F.col("family")), lambda t: F.struct(share(t).alias("similarity"), (-t["template"]).alias("t")))
+    scored = scored.withColumn("near", F.array_max(near)).withColumn("similarity", F.coalesce("near.similarity", F.lit(0.0)))
+    scored = scored.withColumn("confirmed", F.col("similarity") >= confirm)
+    whole, together = F.col("lines") > 1, W.partitionBy("row", "run")
+    scored = scored.withColumn("named", F.max(F.when(whole & F.col("confirmed"), F.col("family"))).over(together))
+    alone = F.collect_set(F.when(~whole & F.col("confirmed"), F.col("family"))).over(together)
+    wrapped = F.col("named").isNotNull() & ~F.array_contains(alone, F.col("named"))
+    scored = scored.withColumn("wrapped", F.coalesce(wrapped, F.lit(False))).where(F.when(whole, F.col("wrapped")).otherwise(F.col("confirmed") | ~F.col("wrapped")))
+    template = F.when(F.col("similarity") > 0, -F.col("near.t"))
+    return scored.select("doc_id", "paragraph", "lines", "family", "probability", "unknown_probability", template.alias("template"), "similarity", "confirmed")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -355,6 +355,36 @@ def test_unknown_lines_that_speak_of_licences(spark):
         assert r.family == license_scan.UNKNOWN and not r.confirmed and abs(r.probability - model.predict(lines[i]).max()) < 1e-6
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_notices(spark):
+    model = license_scan.LicenceModel()
+    notices = {1: (MIT, "mit"), 2: (BSD, "bsd"), 3: (GPL, "gpl"), 4: (GPL.replace("GNU General", "GNU Affero General"), "agpl"), 5: (ISC, "isc")}
+    rows = [(i, f"some words before\n\n{t}\n\nand others after") for i, (t, _) in notices.items()]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect() if r.confirmed}
+    assert {i: r.family for i, r in got.items()} == {i: f for i, (_, f) in notices.items()}
+    assert all(r.paragraph == 2 and r.lines > 1 for r in got.values())
+    one = [(6, "Licence: GPLv3"), (7, "Distributed under the GPL."), (8, "This licence applies to the whole work"), (9, "License: MIT")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(one, "doc_id bigint, text string"), model).collect()}
+    assert [got[i].family for i in (6, 7, 8, 9)] == ["gpl", "gpl", license_scan.UNKNOWN, "mit"]
+
+
 def test_licences_of_the_documents(spark, docs, odd, none):
     said = re.compile(r"License|All rights reserved|CC BY")
     want = Counter(r.doc_id for r in docs.collect() for line in r.text.split("\n") if said.search(line))
