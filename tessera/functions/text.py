@@ -81,6 +81,17 @@ def span_coverage(a, b, c, d) -> Column:
     return F.when(n > 0, span_overlap(a, b, c, d) / n).otherwise(0.0)
 
 
+def blocks_overlapping(blocks, start, end) -> Column:
+    """Those of an array of blocks that share a character with [start, end)."""
+    return F.filter(_col(blocks), lambda b: (b["start"] < _col(end)) & (b["end"] > _col(start)) & (b["end"] > b["start"]) & (_col(end) > _col(start)))
+
+
+def section_path_at(blocks, offset) -> Column:
+    """Section path of the first block that holds the offset; empty outside all blocks."""
+    held = F.filter(_col(blocks), lambda b: (b["start"] <= _col(offset)) & (_col(offset) < b["end"]))
+    return F.coalesce(F.get(held, F.lit(0))["section_path"], F.array().cast("array<string>"))
+
+
 def company_tokens(name) -> Column:
     words = F.filter(found(F.lower(_col(name)), "[a-z]+"), lambda w: F.length(w) > 2)
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, COMPANY_NOISE)))

@@ -89,3 +89,10 @@ def resolve_context(answers: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def stuff_document(docs: DataFrame, most: int = 800_000) -> DataFrame:
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("#fulldoc")).alias("chunk_id"), "doc_id", F.substring("text", 1, most).alias("text"))
+
+
+def value_accuracy(scores: DataFrame, resamples: int = 10_000) -> DataFrame:
+    """arm, point, n, low, high of value_correct, where it applies."""
+    from tessera.operators.evaluation import bootstrap_ci
+
+    return bootstrap_ci(scores.select("arm", "query_id", F.col("value_correct").cast("double").alias("value")), resamples, by=("arm",))

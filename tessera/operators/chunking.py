@@ -66,9 +66,11 @@ def sentence_spans(text: str, at: int = 0) -> list[Span]:
     return out
 
 
-def struct_spans(blocks: list[dict], text: str, target: int = 512, most: int | None = None, count=cost) -> list[Span]:
+def struct_spans(blocks: list[dict], text: str, target: int = 512, most: int | None = None, count=cost, split: bool = True) -> list[Span]:
     """Blocks grouped within a section up to `target`; tables whole; prose over `most` split on its own span alone."""
     most = most or 4 * target
+    if most < target:
+        raise ValueError("most must be at least target")
     out: list[Span] = []
     group: list[Span] = []
     used, section = 0, None
@@ -88,7 +90,7 @@ def struct_spans(blocks: list[dict], text: str, target: int = 512, most: int | N
         if b["section_path"] != section:
             flush()
             section = b["section_path"]
-        if b["kind"] != "table" and n > most:
+        if split and b["kind"] != "table" and n > most:
             flush()
             out += fixed_spans(text[a:z], target, 0, count, at=a)
             continue
@@ -139,12 +141,86 @@ def chunks(docs: DataFrame, splitter: Callable[[str], list[Span]]) -> DataFrame:
 
 
 def chunker(name: str) -> Callable[[str], list[Span]]:
-    """Text chunkers by name: fixedNoM, lines, sentences."""
-    if m := re.fullmatch(r"fixed(\d+)o(\d+)", name):
-        return lambda text, n=int(m[1]), o=int(m[2]): fixed_spans(text, n, o)
+    """Text chunkers by name: fixedN, fixedNoM, lines, sentences."""
+    if m := re.fullmatch(r"fixed(\d+)(?:o(\d+))?", name):
+        return lambda text, n=int(m[1]), o=int(m[2] or 0): fixed_spans(text, n, o)
+    if name not in ("lines", "sentences"):
+        raise ValueError(f"unknown chunker {name}")
     return {"lines": line_spans, "sentences": sentence_spans}[name]
 
 
+def _distances(vectors: list[list[float]]) -> list[float]:
+    """Cosine distances of neighbours; a zero vector is at distance 1 from all."""
+    import numpy as np
+
+    x = np.array(vectors, np.float64)
+    x /= np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    return np.round(1 - (x[1:] * x[:-1]).sum(1), 9).tolist()
+
+
+def splitter(name: str) -> Callable[[str, list[dict], list | None], list[Span]]:
+    """A chunker by its name, of (text, blocks, sentence vectors): those of chunker(), structN and semanticP. A text
+    without blocks has its lines as paragraphs of one section."""
+    if m := re.fullmatch(r"struct(\d+)", name):
+        n = int(m[1])
+        plain = lambda text: [{"kind": "paragraph", "start": a, "end": z, "section_path": []} for a, z in line_spans(text)]
+        return lambda text, blocks, _: struct_spans(blocks or plain(text), text, n)
+    if m := re.fullmatch(r"semantic(\d+(?:\.\d+)?)", name):
+        limit = float(m[1])
+
+        def semantic(text, blocks, vectors):
+            units = sentence_spans(text)
+            if len(vectors or []) != len(units):
+                raise ValueError(f"{len(vectors or [])} vectors for {len(units)} sentences")
+            return semantic_spans(units, _distances(vectors) if len(units) > 1 else [], limit, [cost(text[a:z]) for a, z in units])
+
+        return semantic
+    of = chunker(name)
+    return lambda text, blocks, _: of(text)
+
+
+BLOCKS = "array<struct<kind: string, start: bigint, `end`: bigint, section_path: array<string>>>"
+
+
+def chunk_corpus(docs: DataFrame, name: str, vectors: DataFrame | None = None) -> DataFrame:
+    """chunk_id, doc_id, start, end, text, section_path, contains_table of documents (doc_id, text, perhaps blocks) by the
+    chunker of that name. vectors: doc_id, pos, embedding of the sentences, which semantic chunkers need. A chunk's
+    section is that of its first block. One narrow pass; a document's sentence vectors come in one row."""
+    split = splitter(name)
+    if name.startswith("semantic") and vectors is None:
+        raise ValueError("semantic chunks need sentence vectors")
+    part = F.col("blocks").cast(BLOCKS) if "blocks" in docs.columns else F.lit(None).cast(BLOCKS)
+    if "blocks" in docs.columns:
+        part = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["section_path"].alias("section_path")))
+    x = docs.select("doc_id", "text", part.alias("blocks"))
+    if name.startswith("semantic"):
+        own = vectors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "embedding"))).alias("v"))
+        x = x.join(own.select("doc_id", F.transform("v", lambda r: r["embedding"].cast("array<double>")).alias("vectors")), "doc_id", "left")
+    else:
+        x = x.withColumn("vectors", F.lit(None).cast("array<array<double>>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, text, blocks, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                blocks = blocks or []
+                for start, end in split(text or "", blocks, own):
+                    body = text[start:end]
+                    start += len(body) - len(body.lstrip())
+                    if body := body.strip():
+                        end = start + len(body)
+                        held = [x for x in blocks if x["start"] < end and start < x["end"]]
+                        section = held[0]["section_path"] if held else []
+                        rows.append((f"{doc}#{start:08d}-{end:08d}", doc, start, end, body, section, any(x["kind"] == "table" for x in held)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.string(), b.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_()]
+            names = ["chunk_id", "doc_id", "start", "end", "text", "section_path", "contains_table"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return x.mapInArrow(run, f"chunk_id string, doc_id {kind}, start bigint, end bigint, text string, section_path array<string>, contains_table boolean")
+
+
 def replay(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Chunks again from recorded spans; spans of unknown documents give none."""
     x = boundaries.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
@@ -179,17 +255,5 @@ def breakpoints(units: DataFrame, percentile: float = 95) -> DataFrame:
 
 
 def struct_chunks(parsed: DataFrame, target: int = 512) -> DataFrame:
-    """chunk_id, doc_id, start, end, text of documents with blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, text, blocks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, end in struct_spans(blocks or [], text or "", target):
-                    out.append((f"{doc}#{start:08d}-{end:08d}", doc, start, end, text[start:end]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.string(), b.column(0).type, pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk_id", "doc_id", "start", "end", "text"])
-
-    kind = parsed.schema["doc_id"].dataType.simpleString()
-    return parsed.select("doc_id", "text", "blocks").mapInArrow(run, f"chunk_id string, doc_id {kind}, start bigint, end bigint, text string")
+    """chunk_corpus() of documents with blocks, by structure."""
+    return chunk_corpus(parsed.where("blocks is not null"), f"struct{target}")

@@ -20,7 +20,7 @@ def gold_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
     key = F.array_join(F.slice("w", 2, 5), " ")
     p = passages.select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
     near = p.where(n >= 7).select("query_id", "passage", key.alias("key"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(five)).alias("key")) if "w" in docs.columns else docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(five)).alias("key"))
+    d = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(five)).alias("key"))
     met = d.join(near, "key").select("query_id", "passage", "doc_id").distinct()
     few = p.where(n < 7).select("query_id", "passage")
     out = met.join(docs.select("doc_id", "text"), "doc_id")
@@ -28,7 +28,7 @@ def gold_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
     out = out.select("query_id", "passage", "doc_id", "text").unionByName(short.select("query_id", "passage", "doc_id", "text"))
     at = F.expr("instr(text, passage)").cast("long")
     out = out.withColumn("start", at - 1).where("start >= 0").withColumn("end", F.col("start") + F.length("passage"))
-    return out.select("query_id", F.format_string("%d:%d-%d", "doc_id", "start", "end").alias("passage_id"), "doc_id", "start", "end", F.lit(2).alias("gain"))
+    return out.select("query_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end")).alias("passage_id"), "doc_id", "start", "end", F.lit(2).alias("gain"))
 
 
 def qrels(chunks: DataFrame, gold: DataFrame, min_coverage: float = 0.5) -> DataFrame:
@@ -78,6 +78,14 @@ def unjudged(run: DataFrame, strict: DataFrame, chunks: DataFrame, expected: Dat
     return per.agg(F.count("*").alias("affected"), F.coalesce(F.sum("hits"), F.lit(0)).alias("unjudged_hits"), F.count_if(F.col("good").isNull()).alias("false_zeros"))
 
 
+def validated(run: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """run and rels again; reading fails on a chunk twice in a ranking and on a negative gain."""
+    bad = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("ranking holds a chunk twice: "), F.col("chunk_id").cast("string"))).cast("boolean")).otherwise(False)
+    n = F.count("*").over(W.partitionBy("query_id", "chunk_id"))
+    low = F.when(F.col("gain") < 0, F.raise_error(F.lit("relevance gains must be non-negative")).cast("boolean")).otherwise(False)
+    return run.withColumn("_n", n).where(~bad).drop("_n"), rels.where(~low)
+
+
 def per_query(run: DataFrame, rels: DataFrame, queries: DataFrame, k: int = 10, recall_k: int = 50, rr_k: int | None = None) -> DataFrame:
     """query_id, ndcg, recall, rr; NULL where a query has nothing relevant, 0 where nothing relevant is retrieved."""
     power = F.pow(F.lit(2.0), F.col("gain")) - 1
@@ -116,28 +124,37 @@ def _draw(*parts):
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10).cast("long")
 
 
-def bootstrap_ci(values: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """point, low, high, n of the mean of `value`, by percentile bootstrap. The values are one per query."""
-    v = values.where("value is not null").select("query_id", "value")
-    v = v.withColumn("i", F.row_number().over(W.orderBy("query_id")) - 1)
-    n = v.agg(F.count("*").alias("n"))
-    draws = v.select("i").crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    pick = draws.select("b", (_draw(F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")) % F.col("n")).alias("j"))
-    means = pick.join(v.select(F.col("i").alias("j"), "value"), "j").groupBy("b").agg(F.avg("value").alias("m"))
+def bootstrap_ci(values: DataFrame, resamples: int = 10_000, seed: int = 42, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """point, low, high, n of the mean of `value`, by percentile bootstrap, for each group of the columns `by`. The
+    values are one per query; NULL ones are not measured and do not count."""
+    v = values.where("value is not null").select(*by, "query_id", "value")
+    v = v.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("query_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy(*by)))
+    draws = v.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    pick = draws.select(*by, "b", (_draw(F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")) % F.col("n")).alias("j"))
+    means = pick.join(v.select(*by, F.col("i").alias("j"), "value"), [*by, "j"]).groupBy(*by, "b").agg(F.avg("value").alias("m"))
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    ci = means.agg(F.round(F.percentile("m", F.lit(lo)), 9).alias("low"), F.round(F.percentile("m", F.lit(hi)), 9).alias("high"))
-    return v.agg(F.round(F.avg("value"), 9).alias("point"), F.count("*").alias("n")).crossJoin(ci)
+    ci = means.groupBy(*by).agg(F.round(F.percentile("m", F.lit(lo)), 9).alias("low"), F.round(F.percentile("m", F.lit(hi)), 9).alias("high"))
+    point = v.groupBy(*by).agg(F.round(F.avg("value"), 9).alias("point"), F.count("*").alias("n"))
+    return point.join(ci, list(by)) if by else point.crossJoin(ci)
 
 
-def paired_test(base: DataFrame, system: DataFrame, flips: int = 1000, seed: int = 42) -> DataFrame:
-    """Two-sided paired randomisation test over shared queries: mean_base, mean_system, delta, p, n."""
-    x = base.select("query_id", F.col("value").alias("a")).join(system.select("query_id", F.col("value").alias("b")), "query_id").where("a is not null and b is not null")
-    x = x.withColumn("d", F.col("b") - F.col("a"))
+def paired_tests(base: DataFrame, systems: DataFrame, flips: int = 10_000, seed: int = 42) -> DataFrame:
+    """Two-sided paired randomisation tests of systems (name, query_id, value) against base (query_id, value), each over
+    the queries both have measured: name, mean_base, mean_system, delta, p, n."""
+    x = systems.select("name", "query_id", F.col("value").alias("b")).join(base.select("query_id", F.col("value").alias("a")), "query_id")
+    x = x.where("a is not null and b is not null").withColumn("d", F.col("b") - F.col("a"))
     sign = F.when(_draw(F.lit(str(seed)), F.col("f").cast("string"), F.col("query_id").cast("string")) % 2 == 0, 1.0).otherwise(-1.0)
-    sums = x.select("query_id", "d", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))).alias("f")).groupBy("f").agg(F.round(F.abs(F.avg(sign * F.col("d"))), 9).alias("s"))
-    seen = x.agg(F.round(F.avg("a"), 9).alias("mean_base"), F.round(F.avg("b"), 9).alias("mean_system"), F.round(F.avg("d"), 9).alias("delta"), F.count("*").alias("n"))
-    p = sums.crossJoin(F.broadcast(seen.select("delta"))).agg(((F.count_if(F.col("s") >= F.abs("delta")) + 1) / F.lit(flips + 1.0)).alias("p"))
-    return seen.crossJoin(p)
+    each = x.select("name", "query_id", "d", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))).alias("f"))
+    sums = each.groupBy("name", "f").agg(F.round(F.abs(F.avg(sign * F.col("d"))), 9).alias("s"))
+    seen = x.groupBy("name").agg(F.round(F.avg("a"), 9).alias("mean_base"), F.round(F.avg("b"), 9).alias("mean_system"), F.round(F.avg("d"), 9).alias("delta"), F.count("*").alias("n"))
+    p = sums.join(F.broadcast(seen.select("name", "delta")), "name").groupBy("name")  # a row for each system
+    p = p.agg(((F.count_if(F.col("s") >= F.abs("delta")) + 1) / F.lit(flips + 1.0)).alias("p"))
+    return seen.join(p, "name")
+
+
+def paired_test(base: DataFrame, system: DataFrame, flips: int = 10_000, seed: int = 42) -> DataFrame:
+    """paired_tests() of one system: mean_base, mean_system, delta, n, p."""
+    return paired_tests(base, system.select(F.lit("system").alias("name"), "query_id", "value"), flips, seed).drop("name")
 
 
 def holm(tests: DataFrame) -> DataFrame:

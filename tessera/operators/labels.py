@@ -23,9 +23,10 @@ def table_facts(tables: DataFrame) -> DataFrame:
 
     tables: doc_id, block_id, company, rendering, caption, n_header_rows, rows array<array<string>>. The line of a row in
     its rendered block depends on the rendering: row sentences have neither header lines nor a delimiter."""
+    more = [c for c in ("company", "sector") if c in tables.columns]
     x = tables.where((F.size("rows") > F.col("n_header_rows")) & (F.col("n_header_rows") > 0))
     x = x.withColumn("header", F.element_at("rows", F.col("n_header_rows")))
-    x = x.select("doc_id", "block_id", "company", "rendering", "caption", "n_header_rows", "header", F.posexplode("rows").alias("i", "row")).where(F.col("i") >= F.col("n_header_rows"))
+    x = x.select("doc_id", "block_id", *more, "rendering", "caption", "n_header_rows", "header", F.posexplode("rows").alias("i", "row")).where(F.col("i") >= F.col("n_header_rows"))
     raw = F.regexp_replace(F.trim(F.element_at("row", 1)), ":+$", "")
     x = x.withColumn("row_label", F.trim(F.regexp_replace(raw, FOOTNOTE, "")))
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
@@ -42,7 +43,72 @@ def table_facts(tables: DataFrame) -> DataFrame:
     line = F.when(F.col("rendering") == "row_sentences", F.when(F.col("caption").isNull(), 0).otherwise(0) + offset).otherwise(
         F.when(F.col("caption").isNull(), 0).otherwise(1) + F.col("n_header_rows") + 1 + offset
     )
-    return x.select("doc_id", "block_id", "row_label", "fact.period", "fact.value", line.cast("int").alias("line"))
+    return x.select("doc_id", "block_id", "row_label", "fact.period", "fact.value", line.cast("int").alias("line"), *more)
+
+
+# The forms that questions take in turn.
+TEMPLATES = (
+    "What was {company}'s {label} for {period}?",
+    "How much did {company} report for {label} in {period}?",
+    "In {period}, what amount did {company} record as {label}?",
+    "Report {company}'s {label} figure for the {period} fiscal year.",
+    "{company} {label} {period}",
+)
+
+
+def located(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """facts with start, end and passage: the characters of the row's line in its block. docs: doc_id, text, blocks. Facts
+    of lines that are not there or have under eight characters go."""
+    blocks = docs.select("doc_id", "text", F.explode("blocks").alias("b")).select("doc_id", F.col("b.block_id").alias("block_id"), F.col("b.start").alias("_a"), F.col("b.end").alias("_z"), "text")
+    x = facts.join(blocks, ["doc_id", "block_id"])
+    lines = F.split(F.substring("text", F.col("_a").cast("int") + 1, (F.col("_z") - F.col("_a")).cast("int")), "\n")
+    x = x.withColumn("_l", lines).withColumn("passage", F.get("_l", F.col("line"))).where(F.length("passage") >= 8)
+    before = F.aggregate(F.slice("_l", 1, F.col("line")), F.lit(0).cast("long"), lambda n, t: n + F.length(t) + 1)
+    x = x.withColumn("start", F.col("_a") + before)
+    return x.withColumn("end", F.col("start") + F.length("passage")).drop("_a", "_z", "_l", "text")
+
+
+def build_queries(facts: DataFrame, n: int = 220, per_doc: int = 40, seed: int = 42) -> DataFrame:
+    """query_id, text, doc_id, passage_id, start, end, gain, kind, verification, lexical_overlap, period, expected: n
+    questions about facts (of located(), with company and sector), at most per_doc of a document, evenly over sectors."""
+    x = query_ids(facts).dropDuplicates(["query_id"])
+    x = stratified_sample(x, "query_id", "doc_id", "sector", per_doc, n, seed)
+    forms = F.array(*map(F.lit, TEMPLATES))
+    text = F.element_at(forms, ((F.col("position") - 1) % len(TEMPLATES) + 1).cast("int"))
+    for name, value in (("company", F.initcap("company")), ("label", F.lower("row_label")), ("period", F.col("period"))):
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    span = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
+    x = x.withColumn("text", text)
+    return x.select(
+        "query_id", "text", "doc_id", span.alias("passage_id"), "start", "end", F.lit(2).alias("gain"), F.lit("table_lookup").alias("kind"),
+        F.lit("generated").alias("verification"), F.round(lexical_overlap("text", "passage"), 6).alias("lexical_overlap"), "period", F.col("value").alias("expected"),
+    )
+
+
+def relocated(queries: DataFrame, facts: DataFrame) -> DataFrame:
+    """query_id, doc_id, start, end, gain of the queries' facts in another rendering (facts of located())."""
+    return query_ids(facts).dropDuplicates(["query_id"]).join(queries.select("query_id", "gain"), "query_id").select("query_id", "doc_id", "start", "end", "gain")
+
+
+def sample_queries(queries: DataFrame, n: int, pinned: list[str] = ()) -> DataFrame:
+    """n queries (query_id, lexical_overlap): the pinned ones first, then evenly spaced over the others by overlap, so a
+    larger sample holds the smaller one that is pinned. Adds position."""
+    order = {q: i for i, q in enumerate(dict.fromkeys(pinned))}
+    pins = queries.sparkSession.createDataFrame(list(order.items()), "query_id string, pin int") if order else None
+    x = queries.join(F.broadcast(pins), "query_id", "left") if order else queries.withColumn("pin", F.lit(None).cast("int"))
+    kept = x.where("pin is not null").withColumn("position", F.row_number().over(W.orderBy("pin"))).where(F.col("position") <= n)
+    rest = n - kept.count()
+    if rest <= 0:
+        return kept.drop("pin")
+    other = x.where("pin is null")
+    all_ = other.count()
+    by = W.orderBy(F.coalesce("lexical_overlap", F.lit(0.0)), "query_id")
+    other = other.withColumn("_i", F.row_number().over(by) - 1)
+    if rest < all_:
+        step = all_ / rest
+        other = other.where(F.col("_i").isin([min(all_ - 1, int(i * step)) for i in range(rest)]))
+    other = other.withColumn("position", F.lit(n - rest) + F.row_number().over(W.orderBy("_i"))).drop("_i")
+    return kept.unionByName(other).drop("pin")
 
 
 def query_ids(facts: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,10 +17,32 @@ from tessera.functions.text import tokens
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, length (tokens, repeats included). The length comes from the row, so one shuffle does."""
-    t = tokens("text")
-    x = chunks.select("chunk_id", t.alias("tokens")).select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return x.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    """chunk_id, term, tf, length (tokens, repeats included). A chunk is one row, so its terms are counted inside it."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, term, tf, length = _counted(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), term, pa.array(tf), pa.array(length[row])], ["chunk_id", "term", "tf", "length"])
+
+    return chunks.select("chunk_id", tokens("text").alias("tokens")).mapInArrow(run, f"chunk_id {kind}, term string, tf bigint, length int")
+
+
+def _counted(lists: pa.Array):
+    """(row, term, tf) of each distinct term of a row's list, and the lists' lengths."""
+    import numpy as np
+
+    length = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+    coded = lists.flatten().dictionary_encode()
+    names = len(coded.dictionary) or 1
+    key = np.repeat(np.arange(len(length)), length) * names + coded.indices.to_numpy()
+    key, tf = np.unique(key, return_counts=True)
+    return key // names, coded.dictionary.take(pa.array(key % names)), tf.astype(np.int64), length
+
+
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """term, df, cf: in how many chunks a term is, and how often. Only partial sums are shuffled."""
+    return postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def collection(chunks: DataFrame) -> DataFrame:
@@ -33,7 +57,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def idf_report(chunks: DataFrame, top: int) -> DataFrame:
     """The rarest terms."""
-    df = postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
+    df = term_stats(chunks)
     x = df.crossJoin(F.broadcast(collection(chunks).select("n")))  # one row
     return x.select("term", "df", F.round(idf(F.col("df"), F.col("n")), 9).alias("idf")).orderBy(F.desc("idf"), "term").limit(top)
 
@@ -45,54 +69,81 @@ def top_k(scores: DataFrame, k: int, source: str) -> DataFrame:
     return out.select("query_id", "chunk_id", "rank", "score", F.lit(source).alias("source"))
 
 
+MOST_TERMS = 1 << 20
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, block: int = 1024) -> DataFrame:
-    """Okapi BM25 with query-term multiplicity, for blocks of queries.
+    """Okapi BM25 with query-term multiplicity.
 
-    One pass counts the document frequencies of a block's terms (partial sums only are shuffled), a second scores
-    each batch of chunks for all queries of the block and keeps the batch's k best, so postings never move."""
+    One pass over the chunks keeps of each its length and the counts of the queries' terms, cached and spilled by the
+    executors; collection statistics and the scores of any number of queries come from that. Up to 2**20 distinct query
+    terms, queries are scored in blocks against batches of chunks, and only local top-k lists are shuffled; beyond, by a
+    join of postings."""
+    kinds = [queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType]
+    asked = queries.select("query_id", tokens("text").alias("tokens"))
+    vocabulary = [r.term for r in asked.select(F.explode("tokens").alias("term")).distinct().limit(MOST_TERMS + 1).collect()]
+    if len(vocabulary) > MOST_TERMS:
+        return top_k(_bm25_joined(chunks, asked, k1, b), k, "bm25")
+    index = _hits(chunks, sorted(vocabulary)).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = index.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
+    df = {r.term: r.n for r in index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    at = {t: i for i, t in enumerate(sorted(vocabulary))}
     out: DataFrame | None = None
     held: list = []
-    kinds = [queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType]
-    stats = None
-    for r in queries.select("query_id", tokens("text").alias("tokens")).toLocalIterator():
+
+    def score() -> DataFrame:
+        weights: dict[int, list[tuple[int, float]]] = {}
+        for i, q in enumerate(held):
+            for t in q.tokens:
+                if n := df.get(at[t]):
+                    weights.setdefault(at[t], []).append((i, max(0.0, math.log(1 + (stats.n - n + 0.5) / (n + 0.5)))))
+        part = _scores(index, weights, [q.query_id for q in held], stats.avgdl or 1.0, k, k1, b, kinds)
+        return part if out is None else out.unionByName(part)
+
+    for r in asked.toLocalIterator():
         held.append(r)
         if len(held) == block:
-            stats = stats or collection(chunks).first()
-            part = _bm25_block(chunks, held, stats, k, k1, b, kinds)
-            out, held = part if out is None else out.unionByName(part), []
+            out, held = score(), []
     if held:
-        part = _bm25_block(chunks, held, stats or collection(chunks).first(), k, k1, b, kinds)
-        out = part if out is None else out.unionByName(part)
+        out = score()
     if out is None:
         empty = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, rank int, score double, source string"
         return chunks.sparkSession.createDataFrame([], empty)
     return top_k(out, k, "bm25")
 
 
-def _bm25_block(chunks: DataFrame, queries: list, stats, k: int, k1: float, b: float, kinds: list) -> DataFrame:
+def _hits(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """chunk_id, length (tokens), terms (positions in the vocabulary, ascending) and tf of each chunk."""
+    sent = chunks.sparkSession.sparkContext.broadcast(vocabulary)  # MOST_TERMS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = pa.array(sent.value, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            length = np.diff(lists.offsets.to_numpy())
+            term = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy()
+            size = max(1, len(known))
+            key, tf = np.unique((np.repeat(np.arange(len(length)), length) * size + term)[term >= 0], return_counts=True)
+            offsets = pa.array(np.searchsorted(key // size, np.arange(len(length) + 1)).astype(np.int32))
+            terms = pa.ListArray.from_arrays(offsets, pa.array((key % size).astype(np.int32)))
+            counts = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length.astype(np.int32)), terms, counts], ["chunk_id", "length", "terms", "tf"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", tokens("text").alias("tokens")).mapInArrow(run, f"chunk_id {kind}, length int, terms array<int>, tf array<int>")
+
+
+def _scores(index: DataFrame, weights: dict, ids: list, avgdl: float, k: int, k1: float, b: float, kinds: list) -> DataFrame:
     """query_id, chunk_id, score: candidates that hold each query's k best."""
-    import math
-
-    spark = chunks.sparkSession
-    vocabulary = sorted({t for q in queries for t in q.tokens})
-    asked = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    each = chunks.select(F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    # The block's vocabulary is bounded by its queries, so it is broadcast.
-    df = {r.term: r.n for r in each.join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n")).collect()}
-    at = {t: i for i, t in enumerate(vocabulary)}
-    weights: dict[int, list[tuple[int, float]]] = {}
-    for i, q in enumerate(queries):
-        for t in q.tokens:
-            if n := df.get(t):
-                weights.setdefault(at[t], []).append((i, max(0.0, math.log(1 + (stats.n - n + 0.5) / (n + 0.5)))))
-    sent = spark.sparkContext.broadcast((vocabulary, weights, [q.query_id for q in queries]))
-    avgdl = stats.avgdl or 1.0
+    sent = index.sparkSession.sparkContext.broadcast((weights, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        vocabulary, weights, ids = sent.value
-        known, names = pa.array(vocabulary, pa.string()), pa.array(ids, to_arrow_type(kinds[0]))
+        weights, ids = sent.value
+        names = pa.array(ids, to_arrow_type(kinds[0]))
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 part = whole.slice(at, 4096)
@@ -100,13 +151,12 @@ def _bm25_block(chunks: DataFrame, queries: list, stats, k: int, k1: float, b: f
                 order = np.argsort(np.array(part.column(0).to_pylist()), kind="stable")  # ties go to smaller ids
                 place = np.empty(n, np.int64)
                 place[order] = np.arange(n)
-                offsets = part.column(1).offsets.to_numpy()
-                length = np.diff(offsets)
-                term = pc.index_in(part.column(1).flatten(), known).fill_null(-1).to_numpy()
-                key = term.astype(np.int64) * n + np.repeat(place, length)
-                key, tf = np.unique(key[term >= 0], return_counts=True)
-                term, doc = key // n, key % n
-                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[order][doc] / avgdl))
+                term = part.column(2).flatten().to_numpy()
+                doc = np.repeat(place, np.diff(part.column(2).offsets.to_numpy()))
+                tf, length = part.column(3).flatten().to_numpy().astype(np.float64), part.column(1).to_numpy()[order]
+                by = np.lexsort((doc, term))
+                term, doc, tf = term[by], doc[by], tf[by]
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avgdl))
                 score = np.zeros((len(ids), n))
                 cuts = np.flatnonzero(np.diff(term, prepend=-1))
                 for lo, hi in zip(cuts, np.append(cuts, len(term))[1:], strict=True):
@@ -121,8 +171,18 @@ def _bm25_block(chunks: DataFrame, queries: list, stats, k: int, k1: float, b: f
                     ["query_id", "chunk_id", "score"],
                 )
 
-    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
-    return chunks.select("chunk_id", tokens("text").alias("tokens")).mapInArrow(run, schema)
+    return index.mapInArrow(run, f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double")
+
+
+def _bm25_joined(chunks: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, score by joins of postings, for any number of queries and terms."""
+    post = postings(chunks)
+    terms = asked.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    stats = F.broadcast(collection(chunks))  # one row
+    x = terms.join(df, "term").join(post, "term").crossJoin(stats)
+    part = F.col("qtf") * idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+    return x.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 1024) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
@@ -36,6 +35,7 @@ BASE = Config("baseline-bm25-fixed512", "baseline", "fixed512o64")
 
 
 def grid() -> list[Config]:
+    # Names and axes of the configurations.
     struct = replace(BASE, name="struct", axis="chunking", chunker="struct512")
     out = [BASE]
     out += [replace(BASE, name=f"chunk-{c}", axis="chunking", chunker=c) for c in ("fixed256o32", "semantic95", "struct512")]
@@ -55,6 +55,21 @@ def changed(a: Config, b: Config) -> set[str]:
     return {f.name for f in fields(Config) if f.name not in ("name", "axis") and getattr(a, f.name) != getattr(b, f.name)}
 
 
+AXES = {"chunking": {"chunker"}, "table_rendering": {"table_rendering"}, "retrieval": {"retrieval", "embedding"}, "embedding": {"embedding", "retrieval"}, "reranking": {"reranker", "candidate_k"}, "candidates": {"candidate_k", "reranker"}}
+
+
+def check(configs: list[Config]) -> None:
+    """Names are unique, and each configuration differs from the baseline, or from the baseline over structure-aware chunks, only on
+    its own axis; interactions may differ on several."""
+    if len({c.name for c in configs}) != len(configs):
+        raise ValueError("configuration names must be unique")
+    base = next((c for c in configs if c.axis == "baseline"), BASE)
+    references = [base, replace(base, chunker="struct512")]
+    for c in configs:
+        if c.axis in AXES and not any(changed(r, c) <= AXES[c.axis] for r in references):
+            raise ValueError(f"{c.name} differs on more than {c.axis}: {sorted(changed(base, c))}")
+
+
 def by_index(configs: list[Config]) -> dict[tuple, list[Config]]:
     """Configurations that share chunks and indexes."""
     out: dict[tuple, list[Config]] = defaultdict(list)
@@ -73,20 +88,14 @@ def union_of_runs(runs: dict[str, DataFrame | str]) -> tuple[DataFrame, dict[str
     return out, skipped
 
 
-def significance(per_query: dict[str, DataFrame], base: str, test: Callable[[DataFrame, DataFrame], DataFrame], adjust: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each config's paired test against the base, adjusted over the family."""
-    out = None
-    for name, scores in per_query.items():
-        if name != base:
-            t = test(per_query[base], scores).select(F.lit(name).alias("name"), "p")
-            out = t if out is None else out.unionByName(t)
-    return adjust(out)
-
-
-def search(run: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked passages with scores and scores relative to the query's best, four decimals."""
+def search(run: DataFrame, chunks: DataFrame, k: int = 10, most: int = 100) -> DataFrame:
+    """Ranked passages, k of each query, with section, scores and scores relative to the query's best, four decimals."""
     from pyspark.sql import Window as W
 
+    if not 1 <= k <= most:
+        raise ValueError(f"k must be in [1, {most}]")
     top = F.max("score").over(W.partitionBy("query_id"))
-    x = run.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
-    return x.select("query_id", "rank", "chunk_id", "doc_id", "text", F.round("score", 4).alias("score"), F.round(F.col("score") / top, 4).alias("relative"))
+    more = [c for c in ("section_path", "contains_table") if c in chunks.columns]
+    x = run.where(F.col("rank") <= k).join(chunks.select("chunk_id", "doc_id", "text", *more), "chunk_id")
+    relative = F.when(top > 0, F.round(F.col("score") / top, 4)).otherwise(0.0)
+    return x.select("query_id", "rank", "chunk_id", "doc_id", "text", *more, F.round("score", 4).alias("score"), relative.alias("relative"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tessera.operators import chunking as C
 from tessera.operators import evaluation as E
 from tessera.operators import labels as L
 from tessera.operators import retrieval as R
+from tessera.plans import grid as G
+from tessera.plans import runner as N
 from tessera.sources import corpus as S
 from tessera.sources import html as H
 
@@ -48,11 +52,6 @@ def gold(spark, sf) -> DataFrame:
     return E.gold_spans(docs(spark, sf).select("doc_id", "text"), passages(spark, sf))
 
 
-def rows(spark, schema: str, sql_values: str) -> DataFrame:
-    names = ", ".join(x.split()[0] for x in schema.split(", "))
-    return spark.sql(f"select * from values {sql_values} as t({names})")
-
-
 # ---- the same tables in DuckDB
 
 TOKEN = r"[a-z]+(?:''[a-z]+)?|\d[\d,]*(?:\.\d+)?%?"
@@ -108,12 +107,31 @@ def line_chunks(spark, sf):
     return lines(spark, sf)
 
 
-@query()
+CHUNKED = """select printf('%s#%08d-%08d', doc_id::varchar, "start", "end") chunk_id, doc_id, "start", "end", substr(text, "start" + 1, "end" - "start") text"""
+# Greedy windows: where each word's window would end and where the next would begin, then the chain from the first word.
+FIXED = """a0 as (select doc_id, text, unnest(regexp_extract_all(text, '\\S+')) w, unnest(regexp_extract_all(text, '\\s*\\S+')) sw, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 i from documents),
+atoms as (select doc_id, i, greatest(1, round_even(length(w) / 4.0, 0))::bigint c, (sum(length(sw)) over (partition by doc_id order by i))::bigint e, (sum(length(sw)) over (partition by doc_id order by i) - length(w))::bigint s,
+  (sum(greatest(1, round_even(length(w) / 4.0, 0))) over (partition by doc_id order by i))::bigint upto from a0),
+ends as (select a.doc_id, a.i, greatest(coalesce(b.i, a.i), a.i) + 1 last, a.upto - a.c before from atoms a asof left join atoms b on a.doc_id = b.doc_id and a.upto - a.c + 512 >= b.upto),
+tops as (select e.*, t.upto from ends e join atoms t on t.doc_id = e.doc_id and t.i = e.last - 1),
+nexts as (select t.doc_id, t.i, t.last, greatest(coalesce(b.i, 0), t.i + 1) nxt from tops t asof left join (select doc_id, i, upto - c cum from atoms) b on t.doc_id = b.doc_id and t.upto - 64 >= b.cum),
+sizes as (select doc_id, max(i) + 1 n from atoms group by 1),
+chain as (select doc_id, i, last, nxt from nexts where i = 0 union all select n.doc_id, n.i, n.last, n.nxt from chain c join sizes z on z.doc_id = c.doc_id and c.last < z.n join nexts n on n.doc_id = c.doc_id and n.i = c.nxt),
+chunks as (select c.doc_id, f.s "start", l.e "end" from chain c join atoms f on f.doc_id = c.doc_id and f.i = c.i join atoms l on l.doc_id = c.doc_id and l.i = c.last - 1)"""
+
+
+@query(f"with recursive {FIXED} {CHUNKED} from chunks join documents using (doc_id)")
 def fixed_chunks(spark, sf):
-    return C.chunks(docs(spark, sf), C.chunker("fixed512o64"))
+    return C.chunk_corpus(docs(spark, sf), "fixed512o64").select("chunk_id", "doc_id", "start", "end", "text")
 
 
-@query()
+SENTENCES = """cut as (select doc_id, string_split(regexp_replace(text, '([.!?])(\\s+)([A-Z0-9])', '\\1' || chr(1) || '\\2\\3', 'g'), chr(1)) p from documents),
+parts as (select doc_id, unnest(p) part, generate_subscripts(p, 1) i from cut),
+placed as (select doc_id, part, (sum(length(part)) over (partition by doc_id order by i) - length(part))::bigint pos from parts),
+chunks as (select doc_id, pos + length(part) - length(regexp_replace(part, '^\\s+', '')) "start", pos + length(regexp_replace(part, '\\s+$', '')) "end" from placed where regexp_matches(part, '\\S'))"""
+
+
+@query(f"with {SENTENCES} {CHUNKED} from chunks join documents using (doc_id)")
 def sentence_chunks(spark, sf):
     return C.chunks(docs(spark, sf), C.chunker("sentences"))
 
@@ -149,7 +167,7 @@ def sentence_breakpoints(spark, sf):
 
 @query(f"with {LINES}, tok as (select chunk_id, {TOKENS.format('text')} t from chunks), post as (select chunk_id, unnest(t) term from tok) select term, count(distinct chunk_id) df, count(*) cf from post group by 1")
 def postings_stats(spark, sf):
-    return R.postings(lines(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.term_stats(lines(spark, sf))
 
 
 @query(f"with {LINES}, tok as (select chunk_id, {TOKENS.format('text')} t from chunks), dfs as (select term, count(*) df from (select distinct chunk_id, unnest(t) term from tok) group by 1), n as (select count(*) n from tok) select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) idf from dfs, n order by idf desc, term limit 100")
@@ -288,102 +306,218 @@ def summarise(spark, sf):
 # ---- statistics
 
 DRAW = "('0x' || substr(sha256({0}), 1, 15))::bigint"
-VALUES = "v as (select item_id query_id, length(text)::double \"value\", row_number() over (order by item_id) - 1 i from benchmark)"
+RUNNER = f"{LINES}, {GOLD}, {QRELS}, {BM25}, {METRICS}"
+# Two configurations over the lines: BM25 to rank 50, and the same reranked by the chunks' hashes.
+HASHED = "('0x' || substr(sha256(query_id || '|' || chunk_id), 1, 8))::bigint"
+RERUN = (
+    f"{RUNNER}, other as (select query_id, chunk_id, row_number() over (partition by query_id order by case when rank <= 10 then 0 else 1 end, case when rank <= 10 then -{HASHED} end, rank) rank from run), "
+    "ohit as (select query_id, sum(case when rank <= 10 then (pow(2, gain) - 1) / log2(rank + 1) end) dcg, count(*) filter (rank <= 50) found, min(rank) first from other join qrels using (query_id, chunk_id) where gain > 0 group by 1), "
+    "oper as (select i.query_id, round(coalesce(dcg, 0) / idcg, 9) ndcg, round(coalesce(found, 0) / relevant, 9) recall, round(coalesce(1 / first, 0), 9) rr from ideal i left join ohit h using (query_id)), "
+    "both_configs as (select 'bm25-lines' config, query_id, ndcg, recall, rr from per where ndcg is not null union all select 'rerank-hash-10', query_id, ndcg, recall, rr from oper)"
+)
 
 
-def sizes(spark, sf) -> DataFrame:
-    return passages(spark, sf).select("query_id", F.length("text").cast("double").alias("value"))
+def ablation(spark, sf):
+    """Three configurations over the documents' lines; the third lacks its vectors."""
+    base = G.Config("bm25-lines", "baseline", "lines")
+    configs = [base, replace(base, name="rerank-hash-10", axis="reranking", reranker="hash", candidate_k=10), replace(base, name="dense-none", axis="interaction", retrieval="dense", embedding="none")]
+    asked = passages(spark, sf)
+    overlap = F.when(F.length("text") % 2 == 0, 0.2).otherwise(0.6)
+    first = bm25_run(spark, sf).where("rank <= 10").select("query_id", "chunk_id").persist()
+    score = F.conv(F.substring(F.sha2(F.concat_ws("|", "query_id", "chunk_id"), 256), 1, 8), 16, 10).cast("double")
+    scores = asked.join(first, "query_id", "left").select("query_id", F.col("text").alias("query_text"), "chunk_id", score.alias("score"))
+    inputs = N.Inputs(asked.withColumn("lexical_overlap", overlap), {"markdown": (docs(spark, sf).select("doc_id", "text"), gold(spark, sf).persist())}, scores={"hash": scores})
+    return N.run_ablation(configs, inputs, resamples=1000)
+
+
+@query(
+    f"with {RERUN}, m as (select config, round(avg(ndcg), 6) ndcg_common, round(avg(recall), 6) recall_common, round(avg(rr), 6) rr_common, count(*) n_common, "
+    "round(avg(case when length(text) % 2 = 0 then ndcg end), 6) ndcg_low_overlap, round(avg(case when length(text) % 2 = 1 then ndcg end), 6) ndcg_high_overlap "
+    "from both_configs join benchmark on item_id = query_id group by 1), g as (select count(distinct query_id) n from gold), q as (select count(distinct query_id) n from qrels), "
+    "top10 as (select q.query_id, coalesce(min(rank) <= 10, false) ok from (select distinct query_id from qrels) q left join (select r.query_id, rank from run r join qrels using (query_id, chunk_id)) r using (query_id) group by 1) "
+    "select t.config, t.measured, t.reason, ndcg_common, recall_common, rr_common, n_common, ndcg_low_overlap, ndcg_high_overlap, case when measured then (select q.n / g.n from q, g) end fraction, "
+    "case when t.config = 'rerank-hash-10' then (select avg(ok::int::double) from top10) end ceiling "
+    "from (values ('bm25-lines', true, null), ('rerank-hash-10', true, null), ('dense-none', false, 'no vectors of none for lines')) t(config, measured, reason) left join m using (config)"
+)
+def ablation_results(spark, sf):
+    names = ["config", "measured", "reason", "ndcg_common", "recall_common", "rr_common", "n_common", "ndcg_low_overlap", "ndcg_high_overlap", "fraction", "ceiling"]
+    return ablation(spark, sf)[0].select(*names)
 
 
-@query(f"with {VALUES}, n as (select count(*) n from v), d as (select b, {DRAW.format(chr(39) + '42|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} % n j from v, n, range(1000) t(b)), m as (select b, avg(\"value\") m from d join v on v.i = d.j group by 1) select (select round(avg(\"value\"), 9) from v) point, (select n from n) n, round(quantile_cont(m, 0.025), 9) low, round(quantile_cont(m, 0.975), 9) high from m")
-def bootstrap_ci(spark, sf):
-    return E.bootstrap_ci(sizes(spark, sf)).select("point", "n", "low", "high")
+PAIRED = (
+    "x as (select query_id, a.ndcg a, b.ndcg b from (select * from both_configs where config = 'bm25-lines') a join (select * from both_configs where config <> 'bm25-lines') b using (query_id)), "
+    f"s as (select f, round(abs(avg(case when {DRAW.format(chr(39) + '42|' + chr(39) + ' || f || ' + chr(39) + '|' + chr(39) + ' || query_id')} % 2 = 0 then b - a else a - b end)), 9) s from x, range(10000) t(f) group by 1), "
+    "g as (select round(avg(a), 9) mean_base, round(avg(b), 9) mean_system, round(avg(b - a), 9) delta, count(*) n from x), "
+    "tested as (select g.*, (select (count(*) filter (s >= abs(delta)) + 1) / 10001.0::double from s) p from g)"
+)
 
 
-@query(f"with x as (select item_id query_id, length(text)::double a, length(text) + (item_id % 7) - 3.0::double b from benchmark), s as (select f, round(abs(avg(case when {DRAW.format(chr(39) + '42|' + chr(39) + ' || f || ' + chr(39) + '|' + chr(39) + ' || query_id')} % 2 = 0 then b - a else a - b end)), 9) s from x, range(1000) t(f) group by 1), g as (select round(avg(a), 9) mean_base, round(avg(b), 9) mean_system, round(avg(b - a), 9) delta, count(*) n from x) select g.*, (select (count(*) filter (s >= abs(delta)) + 1) / 1001.0::double from s) p from g")
-def paired_test(spark, sf):
-    a = sizes(spark, sf)
-    return E.paired_test(a, a.withColumn("value", F.col("value") + F.col("query_id") % 7 - 3.0))
+@query(f"with {RERUN}, {PAIRED} select 'rerank-hash-10' \"name\", *, round(p, 9) p_holm, round(p, 9) < 0.05 significant from tested")
+def significance(spark, sf):
+    return N.significance(ablation(spark, sf)[1], "bm25-lines")
 
 
-PS = "('a', 0.01D), ('b', 0.04D), ('c', 0.03D), ('d', 0.005D), ('e', 0.5D)"
+@query(
+    f"with {RUNNER}, v as (select query_id, ndcg, row_number() over (order by query_id) - 1 i from per where ndcg is not null), n as (select count(*) n from v), "
+    f"d as (select b, {DRAW.format(chr(39) + '42|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} % n j from v, n, range(10000) t(b)), m as (select b, avg(ndcg) m from d join v on v.i = d.j group by 1) "
+    "select (select round(avg(ndcg), 9) from v) point, (select n from n) n, round(quantile_cont(m, 0.025), 9) low, round(quantile_cont(m, 0.975), 9) high from m"
+)
+def bootstrap_ci(spark, sf):
+    return E.bootstrap_ci(scores(spark, sf).select("query_id", F.col("ndcg").alias("value"))).select("point", "n", "low", "high")
+
+
+@query(f"with {RERUN}, {PAIRED} select * from tested")
+def paired_test(spark, sf):
+    x = ablation(spark, sf)[1]
+    value = lambda name: x.where(F.col("config") == name).select("query_id", F.col("ndcg").alias("value"))
+    return E.paired_test(value("bm25-lines"), value("rerank-hash-10"))
 
 
-@query("with t(name, p) as (values ('a', 0.01::double), ('b', 0.04), ('c', 0.03), ('d', 0.005), ('e', 0.5)), r as (select *, row_number() over (order by p, name) r, count(*) over () m from t), h as (select name, p, round(max(least(1, (m - r + 1) * p)) over (order by p, name rows unbounded preceding), 9) p_holm from r) select *, p_holm < 0.05 significant from h")
+@query("with t as (select o_orderpriority || o_orderstatus \"name\", (count(*) % 97) / 1000.0::double p from orders group by 1), r as (select *, row_number() over (order by p, name) r, count(*) over () m from t), h as (select name, p, round(max(least(1, (m - r + 1) * p)) over (order by p, name rows unbounded preceding), 9) p_holm from r) select *, p_holm < 0.05 significant from h")
 def holm(spark, sf):
-    return E.holm(rows(spark, "name string, p double", PS))
+    o = table(spark, sf, "orders").groupBy(F.concat("o_orderpriority", "o_orderstatus").alias("name"))
+    return E.holm(o.agg((F.count("*") % 97 / F.lit(1000.0)).alias("p")))
 
 
 # ---- answers
 
-ANSWERS = """('q1', 'rag', 'It was 34,550 in 2025 [1][3][1].', array('a', 'b'), '$ 34,550', array('a'), 100, 10, 1.5D, false),
-('q2', 'rag', 'NOT IN CONTEXT', array('a', 'b'), '12', array('b'), 90, 5, 0.5D, false),
-('q3', 'long', 'A loss of (9,415) [2]', array('c', 'd'), '(9,415)', array('c'), 1000, 20, 9.0D, true),
-('q4', 'long', 'About 2.20 percent [1]', array('c'), '2.2', cast(null as array<string>), 1100, 30, 4.0D, false),
-('q5', 'rag', 'No number here', array('e'), '7', array('e'), 80, 8, 2.5D, false)"""
-ANSWER_COLS = "query_id string, arm string, answer string, context_ids a, expected string, gold_ids a, prompt_tokens int, output_tokens int, latency_seconds double, from_cache boolean"
-DUCK_ANSWERS = "a(" + ", ".join(x.split()[0] for x in ANSWER_COLS.split(", ")) + ") as (values " + ANSWERS.replace("array(", "list_value(").replace("cast(null as array<string>)", "null").replace("D,", "::double,") + ")"
+# Answers made of orders: refusals, numbers in several forms, citations within and beyond the context.
+DUCK_ANSWERS = """a as (select o_orderkey::varchar query_id, case when o_orderkey % 2 = 0 then 'rag' else 'long' end arm,
+  case when o_orderkey % 11 = 0 then 'This is NOT in context.' when o_orderkey % 7 = 0 then 'A loss of (' || o_custkey || '.50) [2]'
+    else 'It was ' || o_custkey || ' in 1998 [' || o_orderkey % 4 || '][' || o_custkey % 3 || '][' || o_orderkey % 4 || ']' end answer,
+  (['a', 'b', 'c'])[1:1 + o_orderkey % 3] context_ids,
+  case when o_orderkey % 13 = 0 then null when o_orderkey % 7 = 0 then '(' || o_custkey || '.5)' else (o_custkey + (o_orderkey % 5 = 0)::int)::varchar end expected,
+  case when o_orderkey % 9 = 0 then null when o_orderkey % 9 = 1 then [] else ['b'] end gold_ids,
+  o_custkey % 1000 prompt_tokens, o_orderkey % 50 output_tokens, (o_orderkey % 97) / 10.0::double latency_seconds, o_orderkey % 3 = 0 from_cache from orders)"""
+NUMBER_LIST = "list_transform(regexp_extract_all({0}, '-?\\d[\\d,]*(?:\\.\\d+)?'), lambda x: case when contains(x, '.') then rtrim(rtrim(replace(x, ',', ''), '0'), '.') else replace(x, ',', '') end)"
+CANONICAL = """m as (select *, replace(regexp_extract(replace(raw, ' ', ''), '-?\\d[\\d,]*(?:\\.\\d+)?'), ',', '') v from t),
+signed as (select *, case when contains(raw, '(') and contains(raw, ')') and not starts_with(v, '-') then '-' || v else v end s from m),
+canon as (select *, case when replace(s, '-', '') = '' then null when contains(s, '.') then rtrim(rtrim(s, '0'), '.') else s end canonical from signed)"""
+SCORED = (
+    f"{DUCK_ANSWERS}, t as (select *, expected raw from a), {CANONICAL}, "
+    "n as (select *, list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::int)) c, contains(lower(answer), 'not in context') refused, replace(answer, ' ', '') clean from canon), "
+    "k as (select *, list_transform(list_filter(c, lambda x: x between 1 and len(context_ids)), lambda x: context_ids[x]) cited, list_filter(c, lambda x: not x between 1 and len(context_ids)) wrong, not refused and gold_ids is not null known from n), "
+    f"scored as (select query_id, arm, refused, case when not refused and expected is not null then len(list_filter({NUMBER_LIST.format('clean')}, lambda x: x = canonical or (contains(clean, '(') and contains(clean, ')') and '-' || x = canonical))) > 0 end value_correct, "
+    "case when known and len(cited) > 0 then len(list_intersect(cited, gold_ids)) / len(cited) when known and len(gold_ids) > 0 then 0.0 end citation_precision, "
+    "case when known and len(gold_ids) > 0 then len(list_intersect(cited, gold_ids)) > 0 end citation_recall, len(wrong) > 0 cited_a_hallucinated_passage from k)"
+)
 
 
-def answers(spark) -> DataFrame:
-    return rows(spark, ANSWER_COLS, ANSWERS)
+def answers(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr(
+        "cast(o_orderkey as string) query_id", "if(o_orderkey % 2 = 0, 'rag', 'long') arm",
+        """case when o_orderkey % 11 = 0 then 'This is NOT in context.' when o_orderkey % 7 = 0 then concat('A loss of (', o_custkey, '.50) [2]')
+           else concat('It was ', o_custkey, ' in 1998 [', o_orderkey % 4, '][', o_custkey % 3, '][', o_orderkey % 4, ']') end answer""",
+        "slice(array('a', 'b', 'c'), 1, cast(1 + o_orderkey % 3 as int)) context_ids",
+        "case when o_orderkey % 13 = 0 then null when o_orderkey % 7 = 0 then concat('(', o_custkey, '.5)') else cast(o_custkey + if(o_orderkey % 5 = 0, 1, 0) as string) end expected",
+        "case when o_orderkey % 9 = 0 then null when o_orderkey % 9 = 1 then cast(array() as array<string>) else array('b') end gold_ids",
+        "o_custkey % 1000 prompt_tokens", "o_orderkey % 50 output_tokens", "(o_orderkey % 97) / 10.0D latency_seconds", "o_orderkey % 3 = 0 from_cache",
+    )
 
 
-@query(f"with {DUCK_ANSWERS}, n as (select *, list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::int)) c from a) select query_id, len(list_filter(c, lambda x: x between 1 and len(context_ids)))::int n_valid, len(list_filter(c, lambda x: not x between 1 and len(context_ids)))::int n_invalid, contains(lower(answer), 'not in context') refused from n")
+@query(f"with {SCORED} select query_id, len(cited)::int n_valid, len(wrong)::int n_invalid, refused from k")
 def citations(spark, sf):
-    x = A.cited(answers(spark))
+    x = A.cited(answers(spark, sf))
     return x.select("query_id", F.size("cited_ids").alias("n_valid"), F.size("invalid_citations").alias("n_invalid"), T.refused("answer").alias("refused"))
 
 
-NUMBERS = "('34,550'), ('$ 34,550'), ('16.1 %'), ('(9,415)'), ('2.20'), ('none'), ('-5.0'), ('1,234.50 (x)')"
+RAW = "case o_orderkey % 5 when 0 then '$ ' || o_custkey when 1 then '(' || o_custkey || ',415)' when 2 then o_custkey % 100 || '.' || o_custkey % 10 || '0 %' when 3 then 'none' else '-' || o_custkey || '.0 (x)' end"
 
 
-@query(f"with t(raw) as (values {NUMBERS}), m as (select raw, replace(regexp_extract(replace(raw, ' ', ''), '-?\\d[\\d,]*(?:\\.\\d+)?'), ',', '') v from t), s as (select raw, case when contains(raw, '(') and contains(raw, ')') and not starts_with(v, '-') then '-' || v else v end v from m) select raw, case when replace(v, '-', '') = '' then null when contains(v, '.') then rtrim(rtrim(v, '0'), '.') else v end canonical from s")
+@query(f"with t as (select o_orderkey, {RAW} raw from orders), {CANONICAL} select o_orderkey, raw, canonical from canon")
 def number_match(spark, sf):
-    return rows(spark, "raw string", NUMBERS).select("raw", T.normalise_number("raw").alias("canonical"))
+    x = table(spark, sf, "orders").selectExpr("o_orderkey", f"{RAW} raw")
+    return x.select("o_orderkey", "raw", T.normalise_number("raw").alias("canonical"))
 
 
-@query("select * from (values ('q1', false, true, 1.0::double, true, true), ('q2', true, null, null, null, false), ('q3', false, true, 0.0, false, false), ('q4', false, true, null, null, false), ('q5', false, false, 0.0, false, false)) t(query_id, refused, value_correct, citation_precision, citation_recall, cited_a_hallucinated_passage)")
+@query(f"with {SCORED} select * exclude (arm) from scored")
 def answer_scores(spark, sf):
-    return A.score(answers(spark)).drop("arm")
+    return A.score(answers(spark, sf)).drop("arm")
 
 
 @query(f"with {DUCK_ANSWERS} select arm, count(*) n, round((sum(prompt_tokens) * 0.3 + sum(output_tokens) * 2.5)::double / 1e6, 6) \"cost\", round((sum(prompt_tokens) * 0.3 + sum(output_tokens) * 2.5)::double / 1e6 / count(*), 8) cost_per_query, round(avg(prompt_tokens), 1) mean_prompt_tokens from a group by 1")
 def token_cost(spark, sf):
-    return A.token_cost(answers(spark), 0.3, 2.5)
+    return A.token_cost(answers(spark, sf), 0.3, 2.5)
 
 
 @query(f"with {DUCK_ANSWERS}, l as (select arm, list_sort(list(latency_seconds) filter (not from_cache)) l from a group by 1) select arm, len(l)::int n_live, l[len(l) // 2 + 1] p50, l[least(len(l) - 1, floor(len(l) * 0.95))::int + 1] p95 from l")
 def latency_index_pct(spark, sf):
-    return A.latency(answers(spark))
+    return A.latency(answers(spark, sf))
 
 
-@query("select * from (values ('rag', 3, round(1.0 / 3, 6)::double, 0.5::double, round(1.0 / 3, 6)::double, 0.5::double, 0.5::double), ('long', 2, 0.0, 1.0, 1.0, 0.0, 0.0)) t(arm, n, refusal_rate, accuracy_answered, accuracy_all, citation_precision, citation_recall)")
+@query(f"with {SCORED} select arm, count(*) n, round(avg(refused::int), 6) refusal_rate, round(count(*) filter (value_correct) / nullif(count(value_correct), 0), 6) accuracy_answered, round(count(*) filter (value_correct) / count(*), 6) accuracy_all, round(avg(citation_precision), 6) citation_precision, round(avg(citation_recall::int), 6) citation_recall from scored group by 1")
 def arm_summary(spark, sf):
-    return A.by_arm(A.score(answers(spark)))
+    return A.by_arm(A.score(answers(spark, sf)))
 
 
-CH = "('c1', 'd1', 'R&D was 34,550 in 2025'), ('c2', 'd1', 'total 34,550'), ('c3', 'd1', 'sales 99'), ('c4', 'd2', 'also 34,550')"
+# Each gold document is expected to say its number's last digit: other lines of it that do are no gold but right.
+EXPECTED = f"expected as (select distinct query_id, doc_id, (doc_id % 10)::varchar \"value\" from gold), more as (select distinct query_id, chunk_id from chunks join expected using (doc_id) where list_contains({NUMBER_LIST.format(chr(34) + 'text' + chr(34))}, \"value\"))"
 
 
-def small(spark):
-    chunks = rows(spark, "chunk_id string, doc_id string, text string", CH)
-    expected = rows(spark, "query_id string, doc_id string, value string", "('q1', 'd1', '34,550')")
-    strict = rows(spark, "query_id string, chunk_id string, gain int", "('q1', 'c1', 2)")
-    run = rows(spark, "query_id string, chunk_id string, rank int", "('q1', 'c2', 1), ('q1', 'c4', 2), ('q1', 'c3', 3)")
-    return chunks, expected, strict, run
+def expected(gold_rows) -> DataFrame:
+    return gold_rows.select("query_id", "doc_id", (F.col("doc_id") % 10).cast("string").alias("value")).distinct()
 
 
-@query("select * from (values ('q1', 'c1', 2), ('q1', 'c2', 1)) t(query_id, chunk_id, gain)")
+@query(f"with {LINES}, {GOLD}, {QRELS}, {EXPECTED} select query_id, chunk_id, gain from qrels union all select query_id, chunk_id, 1 from more anti join qrels using (query_id, chunk_id)")
 def lenient_qrels(spark, sf):
-    chunks, expected, strict, _ = small(spark)
-    return E.lenient_qrels(strict, chunks, expected)
+    c, g = lines(spark, sf), gold(spark, sf)
+    return E.lenient_qrels(E.qrels(c, g), c, expected(g))
 
 
-@query("select 1::bigint affected, 1::bigint unjudged_hits, 1::bigint false_zeros")
+@query(
+    f"with {LINES}, {GOLD}, {QRELS}, {BM25}, {EXPECTED}, top as (select * from run where rank <= 10), hits as (select query_id, count(*) hits from top join more using (query_id, chunk_id) anti join qrels using (query_id, chunk_id) group by 1), "
+    "good as (select distinct query_id, 1 good from top join qrels using (query_id, chunk_id)) select count(*) affected, coalesce(sum(hits), 0)::bigint unjudged_hits, count(*) filter (good is null) false_zeros from hits left join good using (query_id)"
+)
 def unjudged(spark, sf):
-    chunks, expected, strict, run = small(spark)
-    return E.unjudged(run, strict, chunks, expected)
+    c, g = lines(spark, sf), gold(spark, sf)
+    return E.unjudged(bm25_run(spark, sf), E.qrels(c, g), c, expected(g))
+
+
+# ---- tables
+
+# A filing for each customer: orders by priority and year, as an HTML table.
+FILINGS = """n as (select o_custkey doc_id, o_orderpriority p, count(*) filter (year(o_orderdate) = 1997) a, count(*) filter (year(o_orderdate) = 1998) b from orders group by all),
+l as (select doc_id, 'Number of orders ' || p row_label, case when a > 0 then a::varchar else 'n/a' end a, case when b > 0 then b::varchar else 'n/a' end b, row_number() over (partition by doc_id order by p) i from n),
+t as (select *, '| ' || row_label || ' | ' || a || ' | ' || b || ' |' passage from l),
+placed as (select *, (39 + sum(length(passage) + 1) over (partition by doc_id order by i) - length(passage) - 1)::bigint "start" from t)"""
+
+
+def filings(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("p"))
+    year = lambda y: F.count_if(F.year("o_orderdate") == y)
+    cell = lambda c: F.when(F.col(c) > 0, F.col(c).cast("string")).otherwise("n/a")
+    row = F.concat(F.lit("<tr><td>Number of orders "), "p", F.lit("</td><td>"), cell("a"), F.lit("</td><td>"), cell("b"), F.lit("</td></tr>"))
+    x = o.agg(year(1997).alias("a"), year(1998).alias("b")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", row.alias("r")))).alias("rows"))
+    head = F.lit("<table><tr><td></td><td>1997</td><td>1998</td></tr>")
+    return x.select("doc_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["r"]), ""), F.lit("</table>")).alias("html"))
+
+
+def facts(spark, sf) -> DataFrame:
+    parsed = H.documents(filings(spark, sf))
+    blocks = parsed.select("doc_id", F.explode("blocks").alias("b")).where("b.kind = 'table'")
+    tables = blocks.select("doc_id", "b.block_id", F.concat(F.lit("Customer "), "doc_id").alias("company"), F.lit("markdown").alias("rendering"), "b.table.caption", "b.table.n_header_rows", "b.table.rows")
+    return L.located(L.table_facts(tables), parsed)
+
+
+@query(f"with {FILINGS} select doc_id, 't00000' block_id, row_label, case when a <> 'n/a' then '1997' else '1998' end period, case when a <> 'n/a' then a else b end \"value\", (i + 1)::int line, \"start\", \"start\" + length(passage) \"end\" from placed where a <> 'n/a' or b <> 'n/a'")
+def table_facts(spark, sf):
+    return facts(spark, sf).select("doc_id", "block_id", "row_label", "period", "value", "line", "start", "end")
+
+
+ASKED = """f as (select doc_id, row_label, case when a <> 'n/a' then '1997' else '1998' end period, case when a <> 'n/a' then a else b end expected, "start", length(passage) n, doc_id % 4 sector from placed where a <> 'n/a' or b <> 'n/a'),
+h as (select *, 'q-' || substr(sha256(doc_id || '|' || row_label || '|' || period), 1, 12) query_id from f), hh as (select *, sha256('42|' || query_id) h from h),
+g as (select * from hh qualify row_number() over (partition by doc_id order by h, query_id) <= 3), s as (select *, row_number() over (partition by sector order by h, query_id) s from g),
+pos as (select *, row_number() over (order by s, sector) position from s qualify position <= 50)"""
+
+
+@query(
+    f"with {FILINGS}, {ASKED} select query_id, case position % 5 when 1 then 'What was Customer ' || doc_id || chr(39) || 's ' || lower(row_label) || ' for ' || period || '?' when 2 then 'How much did Customer ' || doc_id || ' report for ' || lower(row_label) || ' in ' || period || '?' "
+    "when 3 then 'In ' || period || ', what amount did Customer ' || doc_id || ' record as ' || lower(row_label) || '?' when 4 then 'Report Customer ' || doc_id || chr(39) || 's ' || lower(row_label) || ' figure for the ' || period || ' fiscal year.' else 'Customer ' || doc_id || ' ' || lower(row_label) || ' ' || period end \"text\", "
+    "doc_id, doc_id || ':' || \"start\" || '-' || (\"start\" + n) passage_id, 2 gain, expected from pos"
+)
+def eval_queries(spark, sf):
+    x = facts(spark, sf).withColumns({"company": F.concat(F.lit("customer "), "doc_id"), "sector": F.col("doc_id") % 4})
+    return L.build_queries(x, 50, 3).select("query_id", "text", "doc_id", "passage_id", "gain", "expected")
 
 
 # ---- sources

@@ -54,9 +54,9 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """The manifest's documents; reading fails on a missing document or another digest."""
-    x = manifest.select("doc_id", "sha256").join(docs, "doc_id", "left")
-    bad = F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256"))
-    return x.where(~F.when(bad, F.raise_error(F.concat(F.lit("document missing or changed: "), F.col("doc_id").cast("string"))).cast("boolean")).otherwise(False)).drop("sha256")
+    x = manifest.select("doc_id", "sha256").join(docs.withColumn("_here", F.lit(True)), "doc_id", "left")
+    bad = F.col("_here").isNull() | ~F.sha2("text", 256).eqNullSafe(F.col("sha256"))  # a text may be null in both
+    return x.where(~F.when(bad, F.raise_error(F.concat(F.lit("document missing or changed: "), F.col("doc_id").cast("string"))).cast("boolean")).otherwise(False)).drop("sha256", "_here")
 
 
 def align_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:

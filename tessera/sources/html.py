@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,6 +133,7 @@ def expand(table: Node) -> tuple[list[list[str]], list[list[int]]]:
                 for k in range(1, _number(cell.attrs.get("rowspan"))):
                     down[r + k, c] = text, origin
                 c += 1
+                pull()  # a wide cell goes around those that still span down
         pull()
         if any(row):
             rows.append(row)
@@ -159,30 +161,25 @@ def header_rows(rows: list[list[str]]) -> int:
 
 
 def collapse(rows: list[list[str]], origins: list[list[int]], head: int) -> list[list[str]]:
-    """Without columns that no data row fills; neighbours with one header label or one origin are one column."""
+    """The logical table: columns that no data row fills go, neighbours under one header label are one column, and a
+    cell stretched over several columns stands once. Cells count as one by origin, never by text."""
     width = max(map(len, rows), default=0)
-    live = [c for c in range(width) if c == 0 or any(r[c] for r in rows[head:])] if len(rows) > head else list(range(width))
-    groups: list[list[int]] = []
-    for c in live:
-        label = rows[head - 1][c] if head else ""
-        before = groups[-1][-1] if groups else None
-        if before not in (None, 0) and label and rows[head - 1][before] == label:
-            groups[-1].append(c)
-        else:
-            groups.append([c])
+    filled = lambda some: [c for c in range(width) if any(r[c] for r in some)]
+    live = filled(rows[head:]) or filled(rows)
+    label = rows[head - 1] if 0 < head < len(rows) else [""] * width
+    columns = [list(g) for _, g in groupby(live, key=lambda c: label[c] or (c,))]
     out = []
-    for r, row in enumerate(rows):
-        line = []
-        for g in groups:
-            seen, parts = set(), []
-            for c in g:
-                o = origins[r][c]
-                if row[c] and (o == 0 or o not in seen) and not (r < head and row[c] in parts):
-                    parts.append(row[c])
-                seen.add(o)
-            line.append(" ".join(parts))
+    for row, own in zip(rows, origins, strict=True):
+        line, before = [], 0
+        for column in columns:
+            first = own[column[0]]
+            if not first or first != before:  # 0 is padding and never the same cell
+                runs = groupby((c for c in column if row[c]), key=lambda c: own[c])
+                line.append(" ".join(row[next(run)] for _, run in runs))
+                before = first
         out.append(line)
-    return out
+    width = max(map(len, out), default=0)
+    return [line + [""] * (width - len(line)) for line in out]
 
 
 def parse_table(table: Node) -> dict:

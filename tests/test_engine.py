@@ -12,6 +12,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import labels as L
 from tessera.operators import retrieval as R
 from tessera.plans import grid as G
+from tessera.plans import runner as N
 from tessera.sources import corpus as S
 from tessera.sources import html as H
 
@@ -244,3 +245,139 @@ def test_sampling_is_seeded(spark):
     rows = spark.createDataFrame([(i, f"g{i % 3}", f"s{i % 2}") for i in range(60)], "id int, g string, s string")
     a = L.stratified_sample(rows, "id", "g", "s", 10, 8).collect()
     assert sorted(a) == sorted(L.stratified_sample(rows.orderBy(F.desc("id")), "id", "g", "s", 10, 8).collect()) and len(a) == 8
+
+
+def rows_of(html):
+    tree = H._Tree()
+    tree.feed(f"<table>{html}</table>")
+    return H.parse_table(next(tree.root.find("table")))["rows"]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # a stretched label stands once, with and without a stretched header
+        ("<tr><td colspan=3></td><td>2025</td><td>2024</td></tr><tr><td colspan=3>Cash and equivalents</td><td>35,934</td><td>29,943</td></tr>", ["Cash and equivalents", "35,934", "29,943"]),
+        ("<tr><td colspan=3>Year ended</td><td>2025</td></tr><tr><td colspan=3>Net sales</td><td>1,000</td></tr>", ["Net sales", "1,000"]),
+        ("<tr><td></td><td></td><td>2025</td><td></td></tr><tr><td>Revenue 1</td><td></td><td>416,161</td><td></td></tr>", ["Revenue 1", "416,161"]),
+        ("<tr><td></td><td>2025</td><td>2024</td></tr><tr><td>Tax rate</td><td>16.1</td><td>16.1</td></tr>", ["Tax rate", "16.1", "16.1"]),
+        ("<tr><td></td><td>2025</td><td>2024</td></tr><tr><td colspan=3>ASSETS:</td></tr><tr><td>Cash</td><td>1</td><td>2</td></tr>", ["ASSETS:", "", ""]),
+    ],
+)
+def test_stretched_cells(html, want):
+    assert rows_of(html)[1] == want
+
+
+def test_spans_going_down():
+    assert [r[0] for r in rows_of("<tr><td></td><td>2025</td></tr><tr><td rowspan=2>Segment</td><td>100</td></tr><tr><td>200</td></tr>")[1:]] == ["Segment", "Segment"]
+    wide = rows_of("<tr><td>a 1</td><td rowspan=2>b 2</td><td>c 3</td></tr><tr><td colspan=2>d 4</td></tr><tr><td>e 5</td><td>f 6</td><td>g 7</td></tr>")
+    assert wide[1] == ["d 4", "b 2", "d 4"]  # a wide cell goes around one that still spans down
+
+
+@pytest.mark.parametrize("name", ["fixed20", "fixed20o5", "lines", "sentences", "struct30"])
+def test_chunk_grammar(spark, name):
+    text = "One two three. Four five six.\nSeven eight nine ten. Eleven.\n\nTwelve."
+    got = C.chunk_corpus(spark.createDataFrame([("d", text), ("e", None)], "doc_id string, text string"), name).collect()
+    assert got and all(text[r.start : r.end] == r.text and r.chunk_id == f"d#{r.start:08d}-{r.end:08d}" for r in got)
+    assert {i for r in got for i in range(r.start, r.end)} >= {i for i, ch in enumerate(text) if not ch.isspace()}
+    for bad in ("fixed", "words", "semantic95"):
+        with pytest.raises(ValueError):
+            C.chunk_corpus(spark.createDataFrame([], "doc_id string, text string"), bad)
+    with pytest.raises(ValueError):
+        C.struct_spans([], "", 10, 5)
+
+
+def test_semantic_chunks(spark):
+    text = "One a. Two b. Three c. Four d."
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    vectors = spark.createDataFrame([("d", i, v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.1, 1.0]])], "doc_id string, pos int, embedding array<float>")
+    got = C.chunk_corpus(docs, "semantic95", vectors).orderBy("start").collect()
+    assert [r.text for r in got] == ["One a. Two b.", "Three c. Four d."]
+
+
+def test_sections_of_chunks(spark):
+    parsed = H.documents(spark.createDataFrame([("d", f"<p>Item 1. Business</p><p>Some words.</p>{TABLE}")], "doc_id string, html string"))
+    got = C.chunk_corpus(parsed, "struct512").collect()
+    assert any(r.contains_table for r in got) and all(r.section_path == ["Item 1. Business"] for r in got)
+    at = parsed.select(T.section_path_at("blocks", F.lit(3)).alias("a"), T.section_path_at("blocks", F.lit(10**6)).alias("b"), F.size(T.blocks_overlapping("blocks", F.lit(0), F.lit(5))).alias("n")).first()
+    assert at.a == ["Item 1. Business"] and at.b == [] and at.n == 1
+
+
+def test_text_ids_of_gold(spark):
+    docs = spark.createDataFrame([("doc-a", "x one two three four five six seven y")], "doc_id string, text string")
+    got = E.gold_spans(docs, spark.createDataFrame([("q", "one two three four five six seven")], "query_id string, text string")).first()
+    assert (got.passage_id, got.start, got.end) == ("doc-a:2-35", 2, 35)
+
+
+def test_queries_from_facts(spark):
+    parsed = H.documents(spark.createDataFrame([("d", f"<p>Item 1. Business</p>{TABLE}")], "doc_id string, html string"))
+    blocks = parsed.select("doc_id", F.explode("blocks").alias("b")).where("b.kind = 'table'")
+    tables = blocks.select("doc_id", "b.block_id", F.lit("acme inc").alias("company"), F.lit("tech").alias("sector"), F.lit("markdown").alias("rendering"), "b.table.caption", "b.table.n_header_rows", "b.table.rows")
+    facts = L.located(L.table_facts(tables), parsed)
+    text = parsed.first().text
+    for r in facts.collect():
+        assert text[r.start : r.end] == r.passage and r.row_label in r.passage and r.value in r.passage
+    asked = L.build_queries(facts, 10)
+    got = asked.collect()
+    assert len(got) == 2 and all("Acme Inc" in r.text and r.period in r.text and 0 < r.lexical_overlap <= 1 for r in got)
+    assert {(r.query_id, r.start) for r in L.relocated(asked, facts).collect()} == {(r.query_id, r.start) for r in got}
+
+
+def test_pinned_samples(spark):
+    q = spark.createDataFrame([(f"q{i:02d}", i / 20) for i in range(20)], "query_id string, lexical_overlap double")
+    first = [r.query_id for r in L.sample_queries(q, 5).orderBy("position").collect()]
+    assert first == ["q00", "q04", "q08", "q12", "q16"]
+    more = [r.query_id for r in L.sample_queries(q, 8, ["q19", "q03"]).orderBy("position").collect()]
+    assert more[:2] == ["q19", "q03"] and len(set(more)) == 8
+    assert [r.query_id for r in L.sample_queries(q, 1, ["q19", "q03"]).collect()] == ["q19"]
+
+
+def test_rankings_are_validated(spark):
+    run, rels = run_of(spark, "a", "b"), rels_of(spark, a=1)
+    a, b = E.validated(run, rels)
+    assert a.count() == 2 and b.count() == 1
+    with pytest.raises(Exception, match="twice"):
+        E.validated(run_of(spark, "a", "a"), rels)[0].collect()
+    with pytest.raises(Exception, match="non-negative"):
+        E.validated(run, rels_of(spark, a=-1))[1].collect()
+
+
+def test_value_accuracy(spark):
+    s = spark.createDataFrame([("x", str(i), i % 2 == 0) for i in range(10)] + [("x", "n", None)], "arm string, query_id string, value_correct boolean")
+    r = A.value_accuracy(s, 200).first()
+    assert (r.point, r.n) == (0.5, 10) and r.low < 0.5 < r.high
+
+
+def test_bm25_beyond_the_vocabulary_limit(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", f"w{i % 7} w{i % 3} x, y z{i}") for i in range(40)], "chunk_id string, text string")
+    q = spark.createDataFrame([("a", "w1 w1 x"), ("b", "z5 w2")], "query_id string, text string")
+    want = sorted(map(tuple, R.bm25(chunks, q, 10).collect()))
+    monkeypatch.setattr(R, "MOST_TERMS", 1)
+    assert sorted(map(tuple, R.bm25(chunks, q, 10).collect())) == want
+
+
+def test_runner(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    docs = spark.createDataFrame([(f"d{i}", f"{words[i]} {words[i + 1]} stands here.\nThe other line has {words[i + 2]}.") for i in range(10)], "doc_id string, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"{words[i]} {words[i + 1]}", i / 10) for i in range(10)], "query_id string, text string, lexical_overlap double")
+    gold = spark.createDataFrame([(f"q{i}", f"d{i}", 0, 10, 2) for i in range(10)], "query_id string, doc_id string, start int, end int, gain int")
+    base = G.Config("base", "baseline", "lines")
+    dense = spark.createDataFrame([(f"d{i}#00000000-{len(t):08d}", [float(i == j) for j in range(10)]) for i, t in enumerate(f"{words[i]} {words[i + 1]} stands here." for i in range(10))], "chunk_id string, embedding array<double>")
+    asked = queries.select("query_id", "text").withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: (F.substring("query_id", 2, 1).cast("int") == j).cast("double")))
+    configs = [
+        base, G.replace(base, name="dense", axis="retrieval", retrieval="dense", embedding="m"), G.replace(base, name="hybrid", axis="retrieval", retrieval="hybrid", embedding="m"),
+        G.replace(base, name="partly", axis="interaction", retrieval="dense", embedding="half"), G.replace(base, name="meaning", axis="chunking", chunker="semantic95"),
+        G.replace(base, name="sentences", axis="table_rendering", table_rendering="row_sentences"), G.replace(base, name="ranked", axis="reranking", reranker="none"),
+    ]
+    inputs = N.Inputs(queries, {"markdown": (docs, gold)}, vectors={("m", "lines"): dense, ("half", "lines"): dense}, query_vectors={"m": asked, "half": asked.limit(5)})
+    results, per_query = N.run_ablation(configs, inputs, resamples=50)
+    got = {r.config: r for r in results.collect()}
+    assert len(got) == 7 and {n for n, r in got.items() if r.measured} == {"base", "dense", "hybrid"}
+    assert all((r.reason is None) == r.measured and (r.ndcg_common is None) != r.measured for r in got.values())
+    assert "5 of 10" in got["partly"].reason and "sentence vectors" in got["meaning"].reason and "row_sentences" in got["sentences"].reason
+    assert got["dense"].ndcg_common == 1.0 and got["dense"].n_common == 10 and got["base"].fraction == 1.0
+    tests = {r.name: r for r in N.significance(per_query, "base", 100).collect()}
+    assert set(tests) == {"dense", "hybrid"} and all(0 < r.p <= r.p_holm <= 1 for r in tests.values())
+    with pytest.raises(ValueError, match="more than"):
+        G.check([base, G.replace(base, name="x", axis="chunking", candidate_k=5)])
+    G.check(G.grid())
