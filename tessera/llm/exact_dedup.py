@@ -3,13 +3,15 @@
 Level 0: every task keeps a memtable of digests; when it is full it is flushed as a run sorted by digest
 (digest, best id, rows with that id, rows). Compaction brings the runs of a digest range together, merges
 the sorted runs and keeps one identifier per digest - the smallest, or the largest with keep="largest".
-A fixed-size filter over the digests that occur more than once (2**filter_bits bits, so its size never
-grows with the data) tells most rows that they are alone, without a shuffle of their text; the rest look
-their digest up in the compacted level and every hit is compared byte for byte with the text that stays.
+A filter over the digests that occur more than once, one bitmap block per digest range, of 16 bits a digest up to
+2**27 bits in all (16 MB, so what is broadcast is bounded), tells most rows that they are alone, without a shuffle of
+their text; the rest look their digest up in the compacted level and every hit is compared byte for byte with the
+text that stays. Beyond some ten million repeated digests more rows pass the filter, at the cost of shuffling them.
 Should different texts share a digest, all rows of that digest are grouped by their whole texts instead.
 
-Edge cases: null text counts as empty; a null id is smaller than all others; of repeated rows with the id
-that stays exactly one is kept; an empty table gives an empty result; other columns are ignored.
+Edge cases: null text counts as empty; ids are of any ordered type, and a null id is smaller than all others; of
+repeated rows with the id that stays exactly one is kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import Window as W
 
 from tessera.llm.common import materialise, partitions
 
-RUN = "digest binary, best bigint, n_best bigint, n bigint"
-_NONE = -(2**63)  # stands for a null id
+MOST_BITS = 27
+
+
+def _run_schema(ids: DataFrame) -> str:
+    return f"digest binary, best {ids.schema.fields[1].dataType.simpleString()}, n_best bigint, n bigint"
 
 
 def _fold(table: pa.Table, largest: bool) -> pa.Table:
@@ -38,18 +43,21 @@ def _fold(table: pa.Table, largest: bool) -> pa.Table:
     new = np.ones(table.num_rows, bool)
     new[1:] = pc.not_equal(digest.slice(1), digest.slice(0, len(digest) - 1)).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(new)
-    best, n_best, n = (table.column(c).to_numpy() for c in ("best", "n_best", "n"))
-    first = np.repeat(best[at], np.diff([*at, len(new)]))
+    best = table.column("best").combine_chunks()
+    n_best, n = (table.column(c).to_numpy() for c in ("n_best", "n"))
+    first = best.take(pa.array(np.repeat(at, np.diff([*at, len(new)]))))
+    same = pc.or_(pc.fill_null(pc.equal(best, first), False), pc.and_(pc.is_null(best), pc.is_null(first))).to_numpy(zero_copy_only=False)
     return pa.table({
         "digest": digest.take(pa.array(at)),
-        "best": best[at],
-        "n_best": np.add.reduceat(np.where(best == first, n_best, 0), at),
+        "best": best.take(pa.array(at)),
+        "n_best": np.add.reduceat(np.where(same, n_best, 0), at),
         "n": np.add.reduceat(n, at),
     })
 
 
 def _sorted(table: pa.Table, largest: bool) -> pa.Table:
-    return _fold(table.sort_by([("digest", "ascending"), ("best", "descending" if largest else "ascending")]), largest)
+    keys = [("digest", "ascending"), ("best", "descending" if largest else "ascending")]
+    return _fold(table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_end" if largest else "at_start")), largest)
 
 
 def flush_runs(rows: DataFrame, memtable: int, largest: bool) -> DataFrame:
@@ -60,7 +68,7 @@ def flush_runs(rows: DataFrame, memtable: int, largest: bool) -> DataFrame:
         count = 0
         for b in batches:
             one = pa.array([1] * b.num_rows, pa.int64())
-            held.append(pa.table({"digest": b.column(0), "best": b.column(1).fill_null(_NONE), "n_best": one, "n": one}))
+            held.append(pa.table({"digest": b.column(0), "best": b.column(1), "n_best": one, "n": one}))
             count += b.num_rows
             if count >= memtable:
                 table = _sorted(pa.concat_tables(held), largest)
@@ -71,7 +79,7 @@ def flush_runs(rows: DataFrame, memtable: int, largest: bool) -> DataFrame:
         if held:
             yield from _sorted(pa.concat_tables(held), largest).to_batches()
 
-    return rows.mapInArrow(run, RUN)
+    return rows.mapInArrow(run, _run_schema(rows))
 
 
 def compact(runs: DataFrame, largest: bool) -> DataFrame:
@@ -91,7 +99,7 @@ def compact(runs: DataFrame, largest: bool) -> DataFrame:
         if tail is not None:
             yield from tail.to_batches()
 
-    return dealt.mapInArrow(run, RUN)
+    return dealt.mapInArrow(run, _run_schema(runs))
 
 
 def _bit(digest: Column, bits: int) -> Column:
@@ -109,20 +117,21 @@ def dedup(
     keep: str = "smallest",
     digest: Column | None = None,
     memtable: int = 200_000,
-    filter_bits: int = 23,
+    filter_bits: int | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, text_bytes and the columns `carry`; one row for each row of docs.
 
     digest: another digest of the column `text` than SHA-256, as binary (tests force collisions with it)."""
     largest = keep == "largest"
-    kind = docs.schema["doc_id"].dataType
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
+    raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     sha = F.sha2("text", 256)
     rows = raw.select("doc_id", "text", *carry, (F.unhex(sha) if digest is None else digest).alias("digest"))
 
     runs = flush_runs(rows.select("digest", "doc_id"), memtable, largest)
     level = materialise(compact(runs, largest), "lsm-level")
+    if filter_bits is None:
+        filter_bits = min(MOST_BITS, max(15, (16 * level.where("n > 1").count()).bit_length()))
     seen = materialise(repeats_filter(level, filter_bits), "lsm-filter")
 
     at = _bit(F.col("digest"), filter_bits)
@@ -137,12 +146,13 @@ def dedup(
     # The keeper's text is fetched by (digest, id), which no hot group shares; then one join on the digest, whose
     # large side Spark can split. False positives of the filter find no keeper and need no comparison.
     hits = tested.where("hit").select("doc_id", "text", "digest", *carry)
-    stays = hits.select("doc_id", "text", "digest").withColumn("best", F.coalesce("doc_id", F.lit(_NONE))).join(level.where("n > 1"), ["digest", "best"])
+    known = level.where("n > 1").withColumnRenamed("digest", "_digest")
+    stays = hits.select("doc_id", "text", "digest").join(known, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("best")))
     stays = stays.select("digest", "best", "n_best", "n", F.col("text").alias("other"))
     repeated = not level.where("n > 1 and n_best > 1").isEmpty()
     if repeated:  # repeated rows: one of them is enough to compare with
         stays = stays.groupBy("digest", "best", "n_best", "n").agg(F.min("other").alias("other"))
-    best = F.when(F.col("n").isNull(), F.col("doc_id")).when(F.col("best") != _NONE, F.col("best"))
+    best = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best"))
     checked = hits.join(stays, "digest", "left").select(
         "doc_id", "digest", best.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"),
         (F.col("n").isNull() | F.coalesce(F.col("text") == F.col("other"), F.lit(False))).alias("same"),
@@ -156,14 +166,13 @@ def dedup(
     if not bad.isEmpty():
         good = checked.join(bad, "digest", "left_anti")
         clash = rows.join(bad, "digest", "left_semi")
-        order = F.max("doc_id") if largest else F.min(F.coalesce("doc_id", F.lit(_NONE)))
+        order = F.max("doc_id") if largest else F.when(F.count("doc_id") == F.count("*"), F.min("doc_id"))
         groups = clash.groupBy("text").agg(order.alias("best"), F.count("*").alias("n"))
-        best_of = F.when(F.col("best") == _NONE, F.lit(None)).otherwise(F.col("best"))
-        exact = clash.join(groups, "text").withColumns({"keep_id": best_of, "text_sha256": sha, "text_bytes": F.octet_length("text").cast("long")})
+        exact = clash.join(groups, "text").withColumns({"keep_id": F.col("best"), "text_sha256": sha, "text_bytes": F.octet_length("text").cast("long")})
         exact = _one_kept(exact, F.col("text_sha256"), True).select(*cols)
     out = alone.unionByName(_one_kept(good, F.col("digest"), repeated).select(*cols))
     out = out if exact is None else out.unionByName(exact)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("keep_id", F.col("keep_id").cast(kind))
+    return out
 
 
 def _one_kept(rows: DataFrame, group: Column, repeated: bool) -> DataFrame:

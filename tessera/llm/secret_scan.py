@@ -6,8 +6,8 @@ identifiers, high-entropy tokens and endpoints - are interval-joined within scop
   link_id        a named identifier with a secret in scope
   link_secret    a high-entropy token with an access identifier in scope
   link_endpoint  an endpoint with both an access identifier and a secret in scope
-The join is a sorted sweep per kind (nearest neighbour by bisection), so it is linear in the candidates and
-never forms pairs.
+The join is a sorted sweep per kind (bisection over starts and over the running maximum of ends), which never forms
+pairs.
 
 Edge cases: null text counts as empty and gives no span; null ids pass through; repeated rows are scanned
 each for itself; an empty table gives an empty result; other columns are ignored.
@@ -63,11 +63,13 @@ class _Parts:
     def __init__(self, spans: list[tuple[int, int]], scope_of):
         self.spans = sorted(set(spans))
         self.starts = [a for a, _ in self.spans]
-        self.widest = max((b - a for a, b in self.spans), default=0)
+        self.tops: list[int] = []  # the furthest end so far, so a long span does not widen every lookup
+        for _, b in self.spans:
+            self.tops.append(max(b, self.tops[-1] if self.tops else 0))
         self.scope_of = scope_of
 
     def near(self, a: int, b: int, reach: int) -> bool:
-        i = bisect_left(self.starts, a - reach - self.widest)
+        i = bisect_left(self.tops, a - reach)
         scope = self.scope_of(a)
         while i < len(self.spans) and self.starts[i] <= b + reach:
             x, y = self.spans[i]

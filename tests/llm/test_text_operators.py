@@ -95,6 +95,26 @@ def test_exact_dedup(spark, docs, odd, keep, short):
         assert set(kept.values()) == {1}
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_of_any_ids(spark, keep):
+    low = -(2**63)
+    texts = ["a", "a", "b", "b", "b", "c", None, ""]
+    for kind, ids in (("string", ["x2", "x10", None, "y", "y", "z", None, "q"]), ("bigint", [low, None, low, 3, 3, low, None, low])):
+        frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+        groups = defaultdict(list)
+        for i, t in zip(ids, texts, strict=True):
+            groups[hashlib.sha256((t or "").encode()).hexdigest()].append(i)
+        least = lambda x: (x is not None, x or "") if kind == "string" else (x is not None, x or 0)  # noqa: E731, B023
+        for short in (None, F.substring(F.md5("text"), 1, 0).cast("binary")):
+            got = exact_dedup.dedup(frame, keep=keep, digest=short, memtable=2).collect()
+            assert len(got) == len(texts)
+            for r in got:
+                own = groups[r.text_sha256]
+                assert r.keep_id == (max if keep == "largest" else min)(own, key=least) and r.group_size == len(own)
+            for sha in groups:
+                assert sum(r.kept for r in got if r.text_sha256 == sha) == 1
+
+
 def test_exact_dedup_small_filter_and_empty(docs, none):
     full = {(r.doc_id, r.keep_id) for r in exact_dedup.dedup(docs).collect()}
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.dedup(docs, filter_bits=3).collect()} == full
