@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,14 +83,15 @@ class BlockMaxIndex:
             long = np.flatnonzero(np.diff(ptr) > max(16, self.n // 16))
             row = np.full(self.terms, -1)
             row[long] = np.arange(len(long))
-            full = np.zeros((len(long), self.n))
+            full = np.zeros((len(long), self.n), np.float32)
             on = row[held] >= 0
             full[row[held[on]], docs[on]] = weights[on]
             self._lists = ptr, docs, weights, maxima, row, full, np.append(0, np.cumsum(self.size)), np.zeros(self.terms)
         return self._lists
 
     def nearest(self, query, k: int, without: int = -1):
-        """The k nearest examples with similarity above zero, as (example, similarity), nearest first."""
+        """The k nearest examples with similarity above zero, as (example, similarity), nearest first. Similarities have
+        six decimals; what is equal so far is a tie."""
         import numpy as np
 
         terms, q = (np.array(list(query), np.int64), np.array(list(query.values()), np.float64)) if isinstance(query, dict) else query
@@ -106,27 +108,37 @@ class BlockMaxIndex:
             return np.arange(lo, hi), np.add.reduceat(dense[self.term[part]] * self.weight[part], begin[lo:hi] - begin[lo])
 
         def best(found):
-            ids, sims = (np.concatenate(x) for x in zip(*found, strict=True))
-            sims = np.round(sims, 12)
-            ids, sims = ids[keep := (sims > 0) & (ids != without)], sims[keep]
+            ids, sims = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+            some = sims > 0
+            if 0 <= without:
+                some &= ids != without
+            if len(sims) > 4 * k:  # sort only what may be among the k
+                held = np.where(some, sims, 0.0)
+                some &= held >= np.partition(held, len(held) - k)[-k] - 1e-6
+            ids, sims = ids[some], np.round(sims[some], 6)
             first = np.lexsort((ids, -sims))[:k]
             return ids[first], sims[first]
 
-        at = max(1, -(-(k + 1) // self.block))
-        found = [score(b) for b in order[:at]]
-        ids, sims = best(found)
+        at, many = max(1, -(-(k + 1) // self.block)), max(4, self.blocks // 8)
+        # Where bounds differ little, hardly a block will be left out.
+        flat = np.count_nonzero(bound >= 0.5 * bound[order[0]]) > many
+        found = [] if flat else [score(b) for b in order[:at]]
+        ids, sims = (None, np.zeros(0)) if flat else best(found)
         least = sims[-1] if len(sims) == k else 0.0
-        live = order[at:][bound[order[at:]] >= least]
-        if len(live) > max(4, self.blocks // 8):  # the lists of all terms at once are cheaper
+        live = order if flat else order[at:][bound[order[at:]] >= least - 1e-6]
+        if len(live) > many:  # the lists of all terms at once are cheaper
             rows = row[terms]
-            total = q[rows >= 0] @ full[rows[rows >= 0]]
-            short = terms[rows < 0]
-            n = ptr[short + 1] - ptr[short]
-            place = np.repeat(ptr[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            total = total + np.bincount(docs[place], weights[place] * np.repeat(q[rows < 0], n), self.n)
+            long = rows >= 0
+            total = (q[long].astype(np.float32) @ full[rows[long]]).astype(np.float64)
+            short, w = terms[~long], q[~long]
+            first = ptr[short]
+            n = ptr[short + 1] - first
+            ends = np.cumsum(n)
+            place = np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            total += np.bincount(docs[place], weights[place] * np.repeat(w, n), self.n)
             ids, sims = best([(np.arange(self.n), total)])
         elif len(live):
-            ids, sims = best(found + [score(b) for b in live])
+            ids, sims = best([*found, *(score(b) for b in live)])
         dense[terms] = 0
         return ids, sims
 
@@ -149,7 +161,7 @@ class Neighbours:
         c, d = n1 - a, n - n1 - b
         under = (a + b) * (c + d) * n1 * (n - n1)
         self.phi = np.abs(a * d - b * c) / np.sqrt(np.where(under > 0, under, 1)) * (under > 0)
-        self.weight = np.array([idf[t] for t in sorted(idf)]) * self.phi
+        self.weight = np.array([idf[t] for t in sorted(idf)] or [0.0]) * (self.phi if len(idf) else 0.0)
         vectors = [self.vector(b) for b in bags]
         some = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = BlockMaxIndex([vectors[i] for i in some], [labels[i] for i in some], len(self.names))
@@ -162,13 +174,12 @@ class Neighbours:
         """Terms and their weights, of length one; words of no weight are left out."""
         import numpy as np
 
-        names = self.names
-        known = [(names[w], n) for w, n in bag.items() if w in names]
-        terms = np.array([t for t, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.weight[terms]
-        terms, w = terms[w > 0], w[w > 0]
-        order = np.argsort(terms)
-        return terms[order], w[order] / (math.sqrt(w @ w) or 1.0)
+        terms = np.fromiter(map(self.names.get, bag, repeat(-1)), np.int64, len(bag))
+        n = np.fromiter(bag.values(), np.float64, len(bag))
+        w = (1 + np.log(n)) * np.where(terms >= 0, self.weight[terms], 0.0)
+        some = w > 0
+        terms, w = terms[some], w[some]
+        return terms, w / (math.sqrt(w @ w) or 1.0)
 
     def vote(self, ids, sims) -> float:
         """Share of toxic neighbours, weighted by distance, with one doubtful neighbour more."""
