@@ -100,10 +100,9 @@ def sample_queries(queries: DataFrame, n: int, pinned: list[str] = ()) -> DataFr
     rest = n - kept.count()
     if rest <= 0:
         return kept.drop("pin")
-    other = x.where("pin is null")
-    all_ = other.count()
-    by = W.orderBy(F.coalesce("lexical_overlap", F.lit(0.0)), "query_id")
-    other = other.withColumn("_i", F.row_number().over(by) - 1)
+    other = x.where("pin is null").withColumn("_o", F.coalesce("lexical_overlap", F.lit(0.0)))
+    other, all_ = positions(other, ["_o", "query_id"])
+    other = other.drop("_o")
     if rest < all_:
         step = all_ / rest
         other = other.where(F.col("_i").isin([min(all_ - 1, int(i * step)) for i in range(rest)]))
@@ -124,11 +123,25 @@ def stratified_sample(rows: DataFrame, key: str, group: str, stratum: str, cap:
     return x.drop("_h", "_g", "_s")
 
 
+def positions(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """rows with _i, their place from 0 in the order, and how many there are. Ranges of the order are numbered each in
+    its own task, after the sizes of the ranges before (a row each) are added up."""
+    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())
+    heads, total = [], 0
+    for p, n in sizes:
+        heads.append((p, total))
+        total += n
+    heads = rows.sparkSession.createDataFrame(heads, "_p int, _head long")
+    x = ranged.join(F.broadcast(heads), "_p")
+    return x.withColumn("_i", F.col("_head") + F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1).drop("_p", "_head"), total
+
+
 def spaced_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """n rows evenly spaced over the order."""
-    x = rows.withColumn("_i", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
-    return x.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < n)).drop("_i", "_n")
+    x, total = positions(rows, order)
+    step = max(1, total // n)
+    return x.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < n)).drop("_i")
 
 
 def merge_preserving(existing: DataFrame, new: DataFrame) -> DataFrame:
