@@ -247,8 +247,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, k: int = 15) -
     rows = rows.select("doc_id", "toxic", "bag.words", "bag.n").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
-    examples = [dict(zip(w.as_py(), n.as_py(), strict=True)) for w, n in zip(rows.column("words"), rows.column("n"), strict=True)]
-    names = {w for b in examples for w in b}
+    pool: dict[str, str] = {}  # a string for each word, however many examples have it
+    pairs = zip(rows.column("words"), rows.column("n"), strict=True)
+    examples = [{pool.setdefault(w, w): n for w, n in zip(ws.as_py(), ns.as_py(), strict=True)} for ws, ns in pairs]
+    names, toxic_of, ids = set(pool), rows.column("toxic").to_pylist(), rows.column("doc_id").to_pylist()
+    del rows, pairs
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents and how many of them have each word of the vocabulary."""
@@ -265,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, k: int = 15) -
     df = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
     total = df.pop("", 0)
     idf = {w: math.log(1 + total / max(1, df.get(w, 0))) for w in names}
-    return Neighbours(idf, examples, rows.column("toxic").to_pylist(), k, rows.column("doc_id").to_pylist(), float(share))
+    del found, df
+    return Neighbours(idf, examples, toxic_of, k, ids, float(share))
 
 
 def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
