@@ -3,10 +3,10 @@
 Level 0: every task keeps a memtable of digests; when it is full it is flushed as a run sorted by digest
 (digest, best id, rows with that id, rows). Compaction brings the runs of a digest range together, merges
 the sorted runs and keeps one identifier per digest - the smallest, or the largest with keep="largest".
-A filter over the digests that occur more than once, one bitmap block per digest range, of 16 bits a digest up to
+A filter over the digests that occur more than once, one bitmap block per digest range, of 128 bits a digest or more up to
 2**27 bits in all (16 MB, so what is broadcast is bounded), tells most rows that they are alone, without a shuffle of
 their text; the rest look their digest up in the compacted level and every hit is compared byte for byte with the
-text that stays. Beyond some ten million repeated digests more rows pass the filter, at the cost of shuffling them.
+text that stays. Beyond some millions of repeated digests more rows pass the filter, at the cost of shuffling them.
 Should different texts share a digest, all rows of that digest are grouped by their whole texts instead.
 
 Edge cases: null text counts as empty; ids are of any ordered type, and a null id is smaller than all others; of
@@ -131,7 +131,7 @@ def dedup(
     runs = flush_runs(rows.select("digest", "doc_id"), memtable, largest)
     level = materialise(compact(runs, largest), "lsm-level")
     if filter_bits is None:
-        filter_bits = min(MOST_BITS, max(15, (16 * level.where("n > 1").count()).bit_length()))
+        filter_bits = min(MOST_BITS, max(15, (128 * level.where("n > 1").count()).bit_length()))
     seen = materialise(repeats_filter(level, filter_bits), "lsm-filter")
 
     at = _bit(F.col("digest"), filter_bits)
