@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import materialise, partitions
+from tessera.llm.common import lean, materialise, partitions
 
 MOST_BITS = 27
 
@@ -79,7 +79,7 @@ def flush_runs(rows: DataFrame, memtable: int, largest: bool) -> DataFrame:
         if held:
             yield from _sorted(pa.concat_tables(held), largest).to_batches()
 
-    return rows.mapInArrow(run, _run_schema(rows))
+    return rows.mapInArrow(lean(run), _run_schema(rows))
 
 
 def compact(runs: DataFrame, largest: bool) -> DataFrame:
@@ -99,7 +99,7 @@ def compact(runs: DataFrame, largest: bool) -> DataFrame:
         if tail is not None:
             yield from tail.to_batches()
 
-    return dealt.mapInArrow(run, _run_schema(runs))
+    return dealt.mapInArrow(lean(run), _run_schema(runs))
 
 
 def _bit(digest: Column, bits: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import crc_fold, slices
+from tessera.llm.common import crc_fold, lean, slices
 
 WIDTHS = (2, 3, 4)
 
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: ByteCNN | None, least: float = 0.35) -> DataFrame:
@@ -226,7 +226,7 @@ def recognised(docs: DataFrame, model: ByteCNN | None, least: float = 0.35) -> D
                 keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import give_back, lean, slices
 
 TOKENIZER = "word_bpe_49k.json"
 _tokenizers: dict[str, WordTokens] = {}
@@ -41,7 +41,7 @@ class WordTokens:
 
     CLOSING = "!#$%&()*+,-./:;=?@[\\]^`{|}~"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         import os
 
         import numpy as np
@@ -51,6 +51,11 @@ class WordTokens:
         self.model, self.most = Tokenizer.from_file(path), most
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
         self.code: dict[str, int] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -74,8 +79,8 @@ class WordTokens:
         code = self.code
         new = [w for w in pieces if w not in code]
         if len(code) + len(new) > self.most:
-            self.code, self.pool, self.start, self.size = {}, self.pool[:0], self.start[:0], self.size[:0]
-            new = pieces
+            self.forget()
+            code, new = self.code, pieces
         line = [w for w in new if self._one_word(w)]
         if line:
             ids = np.array(self.model.encode(" ".join(line), add_special_tokens=False).ids, np.uint32)
@@ -281,7 +286,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, cl
 
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length"]
         doc_kind = pa.int64()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             doc_kind = part.column(0).type
             flat, offsets = model.encode(part.column(1))
             for doc, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -296,14 +301,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, cl
                 if held >= buffer:
                     flush()
                     tails, held = [], 0
+                    give_back()
                 if len(rows) >= 2000:
                     yield batch()
+            del part, flat
         flush()
         if rows:
             yield batch()
+        model.forget()  # a task meets more pieces than are kept, so its successors gain little by them
 
     return docs.select("doc_id", "text").mapInArrow(
-        run,
+        lean(run),
         f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint",
     )
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import components, forget, hot_join, materialise, partitions, slices
+from tessera.llm.common import components, forget, hot_join, lean, materialise, partitions, slices
 
 
 def fingerprints_of(text: str | None, width: int = 3, seeds: int = 1) -> list[int]:
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = (), s
             more = pa.array(fp[:, 1:].tolist(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp[:, 0].copy()), more], schema.names)
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", *carry, "text").mapInArrow(lean(run), schema)
 
 
 def _popcount(x):
@@ -229,7 +229,7 @@ def _by_group(solve, most: int, key: tuple[str, ...] = ("block", "part", "i", "j
         if count or held:
             yield solve(pa.Table.from_batches(held))
 
-    return run
+    return lean(run)
 
 
 def links(fps: DataFrame, radius: int = 3, shard: int = 20_000) -> DataFrame:
@@ -279,7 +279,7 @@ def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
             size = pa.array([len(g) + 1 for g in grams], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.list_(pa.int64())), size], ["row", "cluster", "grams", "n"])
 
-    return docs.select("row", "cluster", "text").mapInArrow(run, "row bigint, cluster bigint, grams array<bigint>, n bigint")
+    return docs.select("row", "cluster", "text").mapInArrow(lean(run), "row bigint, cluster bigint, grams array<bigint>, n bigint")
 
 
 def alike_sets(grams, size, comp, tree, probe, least: float, step: int = 1 << 22):
